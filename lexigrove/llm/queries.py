@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrove.llm import bpe, chat, language_id, simhash, toxicity, warc
+from lexigrove.llm import bpe, chat, decontaminate, language_id, licences, merkle, simhash, toxicity, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,15 +53,50 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_merkle_fingerprints": op5_merkle_fingerprints,
+    "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
 
+def _sections(text: str) -> str:
+    leaf = f"array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,{merkle.PIECE}}}'), lambda x: left(md5(x), 8)), '')"
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda p: CASE WHEN p = '' THEN left(md5(''), 8) ELSE {leaf} END), ','))"
+
+
+def _written(sections: str) -> str:
+    return f"md5(array_to_string(list_transform({sections}, lambda s: md5(array_to_string(list_transform(string_split(s, ','), lambda q: md5(q)), ''))), '')) || ':' || array_to_string({sections}, ';')"
+
+
+def _like(a: str, b: str) -> str:
+    x, y = (f"list_distinct(regexp_extract_all(substring({c}, 34), '[0-9a-f]{{8}}'))" for c in (a, b))
+    return f"CASE WHEN left({a}, 32) = left({b}, 32) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": """
+        WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        own AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words),
+        iw AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+        item AS (SELECT DISTINCT item_id, text, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM iw),
+        size AS (SELECT item_id, text, count(*) AS shingles FROM item GROUP BY ALL),
+        hit AS (SELECT doc_id, item_id, text, count(*) AS shared FROM own JOIN item USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, CAST(shared AS BIGINT) AS shared, CAST(shingles AS BIGINT) AS shingles, CAST(shared AS DOUBLE) / shingles AS containment
+        FROM hit JOIN size USING (item_id, text) WHERE shared >= 0.8::DOUBLE * shingles""",
+    "op5_merkle_fingerprints": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (SELECT *, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM d),
+        e AS (SELECT *, left(text, n - n // 4) || left(next, n // 4) AS edited FROM n),
+        s AS (SELECT *, {_sections("text")} AS a, {_sections("edited")} AS b, {_sections("next")} AS c FROM e),
+        f AS (SELECT *, {_written("a")} AS fa, {_written("b")} AS fb, {_written("c")} AS fc FROM s)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_like("fa", "fb")} AS near_edited, {_like("fa", "fc")} AS near_next
+        FROM f""",
+    "op6_license_scan": licences.sql(),
     "op10_warc": """
         WITH p AS (
           SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
