@@ -137,7 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         codec = _codec(shared.value, pattern)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [np.array(",".join(codec.encode(t)).split(",") if t else [], dtype=np.int32) for t in part.column(1).to_pylist()]
+                ids = [np.fromstring(",".join(codec.encode(t)), np.int32, sep=",") for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -156,26 +156,31 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids, and digest both in the same pass.
 
-    Columns (doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the decoded bytes).
+    Columns (doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the decoded bytes) and,
+    if asked for, ids array<int>.
     """
     shared = _load(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            n, ids_sha, text_sha, lists = [], [], [], []
             for text in (x.as_py() for x in batch.column(1)):
-                count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+                count, ids_hash, text_hash, runs = 0, hashlib.sha256(), hashlib.sha256(), []
                 for ids in codec.encode(text):
                     ids_hash.update((("," if count else "") + ids).encode())
                     count += ids.count(",") + 1
                     text_hash.update(codec.decode(ids))
+                    if with_ids:
+                        runs.append(np.fromstring(ids, np.int32, sep=","))
                 n.append(count)
                 ids_sha.append(ids_hash.hexdigest())
                 text_sha.append(text_hash.hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                lists.append(np.concatenate(runs) if runs else np.zeros(0, np.int32))
+            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            yield pa.record_batch(columns | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if with_ids else {}))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

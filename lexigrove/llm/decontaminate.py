@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.llm.scratch import Scratch
+
 SHINGLE, LEAST, SIGNATURE = 5, 0.8, 64
 BLOCK, BLOCK_CHARS = 20_000, 16 << 20
 SMALLEST = 16
@@ -174,4 +176,5 @@ def contained(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Da
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs, all their columns, whose document contains no item."""
     hit = contained(docs, benchmark, least).select(F.col("doc_id").alias("__hit")).distinct()
+    hit = Scratch(docs.sparkSession, "decontaminate").keep(hit, "hit")  # of known size, so that documents aren't shuffled for a few ids
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")

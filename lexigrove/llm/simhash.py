@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm.components import components
@@ -124,3 +124,21 @@ def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 7) -> Data
     merged = linked.join(least, "component").select("fp", "smallest")
     ids = scratch.keep(classes.join(merged, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")), "ids")
     return table.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """docs, all columns, with one document of each group: the one whose doc_id is its component's id.
+
+    Rows that repeat a doc_id are one document, of which the row with the least text stays. Rows without a doc_id have
+    nothing to be named by and always stay.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.keep(near_duplicates(docs, distance, blocks).where("doc_id is not null"), "found")
+    each = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n"))
+    each = scratch.keep(each, "documents")
+    gone = scratch.keep(each.where("stays = 0").select(F.col("doc_id").alias("__gone")), "gone")
+    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    if each.where("n > 1").isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy("text")
+    return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")

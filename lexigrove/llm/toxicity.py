@@ -183,3 +183,16 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, threshold: floa
     """Learn from labelled rows whose crc32(doc_id) mod `folds` is not 1; (doc_id, held_out, score, predicted) for all."""
     model = learn(docs, labels.where(remainder("doc_id", folds) != 1))
     return score(docs, model).select("doc_id", (remainder("doc_id", folds) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, labels: DataFrame, folds: int = 3, threshold: float = 0.7) -> DataFrame:
+    """docs, all columns, without the rows that score `threshold` or more. No row is shuffled for it."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels.where(remainder("doc_id", folds) != 1)))
+
+    @F.pandas_udf("double")
+    def toxic(texts: pd.Series) -> pd.Series:
+        m = shared.value
+        x = np.array([evidence(t, m) for t in texts], float)
+        return pd.Series(1 / (1 + np.exp(-np.clip(m["slope"] * _bent(x) + m["intercept"], -30, 30))))
+
+    return docs.where(toxic(docs["text"].cast("string")) < threshold)
