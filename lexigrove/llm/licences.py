@@ -40,7 +40,8 @@ def _words(text: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    pairs = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, pairs), F.slice(words, 2, pairs), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def _templates(df: DataFrame, templates: dict[str, str]) -> DataFrame:

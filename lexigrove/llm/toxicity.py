@@ -35,7 +35,8 @@ DISCOUNT = 0.75
 #: table has at most 1/SHARE entries at any size of corpus.
 RARE, SHARE = 2, 2e-6
 #: A class keeps counts of its own for an expression only where the classes' rates differ at least RATIO-fold and the
-#: likelihood-ratio statistic of that difference is at least SURE; all others are smoothed to the shared counts.
+#: likelihood-ratio statistic of that difference is at least SURE and at least 2 ln(number of expressions), which chance
+#: alone is unlikely to reach anywhere; all others are smoothed to the shared counts.
 SURE, RATIO = 12.0, 4.0
 WORD = re.compile(r"[^\W\d_]+")
 DEFAULT = (3.0, -2.0)
@@ -61,11 +62,12 @@ def sample_of(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def _telling(a: np.ndarray, b: np.ndarray, n_a: np.ndarray | float, n_b: np.ndarray | float) -> np.ndarray:
     """Where counts a of n_a and b of n_b differ by RATIO and SURE."""
+    sure = max(SURE, 2 * np.log(max(len(a), 1)))
     both = (a + b) / (n_a + n_b)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(a > 0, a * np.log(a / (n_a * both)), 0) + np.where(b > 0, b * np.log(b / (n_b * both)), 0))
         ratio = ((a + 0.5) / n_a) / ((b + 0.5) / n_b)
-    return (g >= SURE) & ((ratio >= RATIO) | (ratio <= 1 / RATIO))
+    return (g >= sure) & ((ratio >= RATIO) | (ratio <= 1 / RATIO))
 
 
 def _tables(uni: pd.DataFrame, bi: pd.DataFrame, total: pd.Series, fold: str) -> dict:
