@@ -1,7 +1,7 @@
 """Boolean, phrase and proximity retrieval.
 
-The postings are read once, cut down to the terms of all leaves. Each leaf gives (leaf, doc_id) hits; hits become one
-row of flags per document, and the query one boolean column over them.
+The postings are read once for each kind of leaf (terms, phrases, proximities), cut down to the leaves' terms. Each kind
+gives (leaf, doc_id) hits; hits become one row of flags per document, and each query one boolean column over them.
 """
 
 from __future__ import annotations
@@ -16,37 +16,58 @@ from lexigrove.operators.index import Index
 from lexigrove.plans.query_language import Leaf, Node, denotation, leaves
 
 
-def containing(postings: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id): documents with any of the terms."""
-    return postings.where(F.col("term").isin(terms)).select("doc_id").distinct()
+#: A query batch of at most this many (term, leaf) entries is broadcast to the postings; a larger one is joined by shuffle.
+FEW_ENTRIES = 100_000
 
 
-def phrase(postings: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id): documents with the terms at consecutive positions.
+def _asked(postings: DataFrame, entries: list[tuple], schema: str) -> DataFrame:
+    """The postings of the entries' terms, beside each entry: one scan for all leaves of a kind."""
+    rows = postings.sparkSession.createDataFrame(entries, f"term string, {schema}")
+    return postings.join(F.broadcast(rows) if len(entries) <= FEW_ENTRIES else rows, "term")
+
+
+def containing_each(postings: DataFrame, leaves: dict[int, list[str]]) -> DataFrame:
+    """(leaf, doc_id): documents with any of a leaf's terms."""
+    rows = _asked(postings, [(t, leaf) for leaf, terms in leaves.items() for t in dict.fromkeys(terms)], "leaf int")
+    return rows.select("leaf", "doc_id").distinct()
 
-    A posting that is the phrase's i-th term votes for the start pos - i; a start with a vote for every i is an
-    occurrence. One aggregation on (doc_id, start), however long the phrase.
+
+def phrases(postings: DataFrame, leaves: dict[int, list[str]]) -> DataFrame:
+    """(leaf, doc_id): documents with a leaf's terms at consecutive positions.
+
+    A posting that is a phrase's i-th term votes for the start pos - i; a start with a vote for every i is an
+    occurrence. One aggregation on (leaf, doc_id, start), however long the phrases and however many.
     """
-    places: dict[str, list[int]] = {}
-    for i, term in enumerate(terms):
-        places.setdefault(term, []).append(i)
-    offsets = reduce(lambda acc, kv: acc.when(F.col("term") == kv[0], F.array(*map(F.lit, kv[1]))), places.items(), F.when(F.lit(False), F.array(F.lit(0))))
-    votes = postings.where(F.col("term").isin(list(places))).select("doc_id", "pos", F.explode(offsets).alias("i"))
-    starts = votes.groupBy("doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("n"))
-    return starts.where(F.col("n") == len(terms)).select("doc_id").distinct()
+    rows = _asked(postings, [(t, leaf, i, len(terms)) for leaf, terms in leaves.items() for i, t in enumerate(terms)], "leaf int, i int, n int")
+    starts = rows.groupBy("leaf", "doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("votes"), F.max("n").alias("n"))
+    return starts.where("votes = n").select("leaf", "doc_id").distinct()
 
 
-def near(postings: DataFrame, left: list[str], right: list[str], distance: int) -> DataFrame:
-    """(doc_id): documents where a left and a right term stand at most `distance` apart, in either order.
+def near_each(postings: DataFrame, leaves: dict[int, tuple[list[str], list[str], int]]) -> DataFrame:
+    """(leaf, doc_id): documents where a left and a right term stand at most the leaf's distance apart, in either order.
 
-    The nearest right position at or before a left one, and the other way round, are running maxima over the document's
-    positions, so no pairs of positions are made: one exchange on doc_id and one sort. A term of both lists is 0 apart.
+    The nearest right position at or before a left one, and the other way round, are running maxima over a document's
+    positions, so no pairs of positions are made: one exchange and one sort. A term of both lists is 0 apart.
     """
-    rows = postings.where(F.col("term").isin(sorted({*left, *right}))).select("doc_id", "pos", F.col("term").isin(left).alias("l"), F.col("term").isin(right).alias("r"))
-    last = lambda side: F.max(F.when(F.col(side), F.col("pos"))).over(Window.partitionBy("doc_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    entries = [(t, leaf, t in left, t in right, d) for leaf, (left, right, d) in leaves.items() for t in dict.fromkeys([*left, *right])]
+    rows = _asked(postings, entries, "leaf int, l boolean, r boolean, d int")
+    so_far = Window.partitionBy("leaf", "doc_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda side: F.max(F.when(F.col(side), F.col("pos"))).over(so_far)
     gaps = rows.withColumn("last_l", last("l")).withColumn("last_r", last("r"))
-    hit = (F.col("l") & (F.col("pos") - F.col("last_r") <= distance)) | (F.col("r") & (F.col("pos") - F.col("last_l") <= distance))
-    return gaps.where(hit).select("doc_id").distinct()
+    hit = (F.col("l") & (F.col("pos") - F.col("last_r") <= F.col("d"))) | (F.col("r") & (F.col("pos") - F.col("last_l") <= F.col("d")))
+    return gaps.where(hit).select("leaf", "doc_id").distinct()
+
+
+def containing(postings: DataFrame, terms: list[str]) -> DataFrame:
+    return containing_each(postings, {0: terms}).select("doc_id")
+
+
+def phrase(postings: DataFrame, terms: list[str]) -> DataFrame:
+    return phrases(postings, {0: terms}).select("doc_id")
+
+
+def near(postings: DataFrame, left: list[str], right: list[str], distance: int) -> DataFrame:
+    return near_each(postings, {0: (left, right, distance)}).select("doc_id")
 
 
 def near_by_join(postings: DataFrame, left: list[str], right: list[str], distance: int) -> DataFrame:
@@ -56,15 +77,20 @@ def near_by_join(postings: DataFrame, left: list[str], right: list[str], distanc
     return a.join(b, (F.col("doc_id") == F.col("other")) & (F.abs(F.col("pos") - F.col("at")) <= distance), "left_semi").select("doc_id").distinct()
 
 
-def _hits(postings: DataFrame, leaf: Leaf, terms: list[list[str]]) -> DataFrame | None:
-    """The documents of a leaf, or None where it can match nothing."""
-    if not terms or not all(terms):
-        return None
-    if leaf.kind == "near":
-        return near(postings, terms[0], terms[1], leaf.distance)
-    if leaf.kind == "phrase" and len(terms[0]) > 1:
-        return phrase(postings, terms[0])
-    return containing(postings, terms[0])
+def _hits(postings: DataFrame, every: list[Leaf], terms: dict[Leaf, list[list[str]]]) -> list[DataFrame]:
+    """(leaf, doc_id) tables, one for each kind of leaf that can match something."""
+    plain, rows, close = {}, {}, {}
+    for i, x in enumerate(every):
+        found = terms[x]
+        if not found or not all(found):
+            continue
+        if x.kind == "near":
+            close[i] = (found[0], found[1], x.distance)
+        elif x.kind == "phrase" and len(found[0]) > 1:
+            rows[i] = found[0]
+        else:
+            plain[i] = found[0]
+    return [make(postings, leaves) for make, leaves in ((containing_each, plain), (phrases, rows), (near_each, close)) if leaves]
 
 
 def _condition(node: Leaf | Node, flag: dict[Leaf, Column]) -> Column:
@@ -87,14 +113,14 @@ def search_many(index: Index, queries: dict[str, str]) -> DataFrame:
     if not asked:
         return empty
     postings = index.only(wanted)
-    found = [(i, hits) for i, x in enumerate(every) if (hits := _hits(postings, x, terms[x])) is not None]
+    found = _hits(postings, every, terms)
     flags = {x: F.lit(False) for x in every}
     rows = index.documents
     if found:
-        hits = reduce(DataFrame.union, [h.select("doc_id", F.lit(i).alias("leaf")) for i, h in found])
-        each = hits.groupBy("doc_id").agg(*[F.max(F.col("leaf") == i).alias(f"leaf_{i}") for i, _ in found])
+        hits = reduce(DataFrame.union, found)
+        each = hits.groupBy("doc_id").agg(*[F.max(F.col("leaf") == i).alias(f"leaf_{i}") for i in range(len(every))])
         rows = rows.join(each, "doc_id", "left")
-        flags |= {every[i]: F.coalesce(F.col(f"leaf_{i}"), F.lit(False)) for i, _ in found}
+        flags = {x: F.coalesce(F.col(f"leaf_{i}"), F.lit(False)) for i, x in enumerate(every)}
     answers = [F.when(_condition(node, flags), F.lit(qid)) for qid, node in asked.items()]
     return rows.select("doc_id", F.explode(F.array_compact(F.array(*answers))).alias("qid")).select("qid", "doc_id")
 

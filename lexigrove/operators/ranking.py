@@ -1,7 +1,7 @@
 """TF-IDF cosine and BM25 ranking of a batch of queries.
 
-Only postings of query terms are joined; a document that shares no term with a query never meets it. Queries and their
-terms are small tables; AQE broadcasts them by their size.
+Only postings of query terms are joined; a document that shares no term with a query never meets it. Query terms are
+broadcast where their count allows, and joined by shuffle beyond.
 """
 
 from __future__ import annotations
@@ -23,6 +23,15 @@ def query_terms(queries: DataFrame, profile: Profile) -> DataFrame:
     return stemmed(rows, "token", profile).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
+#: Query terms up to this many rows are broadcast; more are joined by shuffle.
+FEW_TERMS = 100_000
+
+
+def small(terms: DataFrame) -> DataFrame:
+    """`terms`, marked for broadcast if it is counted to be small."""
+    return F.broadcast(terms) if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS else terms
+
+
 def log_tf(tf: Column) -> Column:
     return 1 + F.log10(tf)
 
@@ -50,7 +59,7 @@ def cosine_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(qid, doc_id, doc_seq, raw, score): cosine clamped to [0, 1], and the same over the query's best; positive only."""
     terms = query_terms(queries, index.profile)
     idf = F.log10(F.lit(float(index.n_docs)) / F.col("df"))
-    weighted = terms.join(index.term_stats, "term").select("qid", "term", (log_tf(F.col("qtf")) * idf).alias("wq"))
+    weighted = index.term_stats.join(small(terms), "term").select("qid", "term", (log_tf(F.col("qtf")) * idf).alias("wq"))
     lengths = weighted.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
     dots = tfidf(index).join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("dot"))
     raw = F.col("dot") / (F.when(F.col("qnorm") == 0, 1.0).otherwise(F.col("qnorm")) * F.col("norm"))
@@ -61,8 +70,8 @@ def cosine_scores(index: Index, queries: DataFrame) -> DataFrame:
 
 def bm25_scores(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, doc_id, doc_seq, score): a term counts as often as the query repeats it; positive scores only."""
-    terms = query_terms(queries, index.profile)
-    wanted = terms.select("term").distinct()
+    terms = small(query_terms(queries, index.profile))
+    wanted = small(query_terms(queries, index.profile).select("term").distinct())
     tf = index.postings.join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = float(index.n_docs), index.avgdl or 1.0
