@@ -102,6 +102,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_like("fa", "fb")} AS near_edited, {_like("fa", "fc")} AS near_next
         FROM f""",
     "op6_license_scan": licences.sql(),
+    "op8_chat_formatting": r"""
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+        e AS (
+          SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+                 + 5 * len(regexp_extract_all(text, '</?s>|\[/?(?:INST|ROLE)|<</?SYS>>|<\|im_(?:start|end)\|>'))
+                 + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18 ELSE 19 + length(role) END AS written
+          FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(written) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op10_warc": """
         WITH p AS (
           SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
