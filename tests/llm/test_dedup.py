@@ -104,7 +104,9 @@ def test_majority_counts_long_runs():
     assert simhash.majority(h, counts).tolist() == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [0, 15_000])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr("lexigrove.llm.components.LAST_EDGES", last)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (500, 500)]
     df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
@@ -123,7 +125,7 @@ def naive_lines(docs):
             if len(norm.split()) >= lines.FEW:
                 occurrences.setdefault(norm, []).append((i, n))
     norms = list(occurrences)
-    fps = [int(simhash.majority(np.array([xxhash.xxh64_intdigest(w) for w in n.split(" ")], np.uint64), np.array([len(n.split(" "))]))[0]) for n in norms]
+    fps = [int(simhash.majority(np.array([xxhash.xxh64_intdigest(w) for w in set(n.split(" "))], np.uint64), np.array([len(set(n.split(" ")))]))[0]) for n in norms]
     root = united(len(norms), [(i, j) for i in range(len(norms)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= lines.DISTANCE and lines.similar(norms[i], norms[j])])
     best = {}
     for k, n in enumerate(norms):
@@ -131,7 +133,9 @@ def naive_lines(docs):
     return {o: best[root[k]] for k, n in enumerate(norms) for o in occurrences[n]}
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("chunk", [2, 2000])
+def test_line_dedup(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lines, "CHUNK", chunk)
     rng = random.Random(11)
     base = [text(rng, rng.choice([4, 6, 30, 60])) for _ in range(30)]
     pool = base + [altered(rng, x) for x in base for _ in range(2)] + [x.upper() + "!" for x in base[:10]] + [" ".join(reversed(x.split())) for x in base[:10]]
