@@ -10,7 +10,7 @@ its paragraphs' digests, each the MD5 of its pieces'. Inner digests follow from
 trees are compared from the root down: equal branches are equal texts, and the pieces of differing ones locate edits.
 
 Defined results: a null text counts as empty and has one empty piece; repeated rows each give a row. Null doc_ids stand
-first in the order of doc_id; rows that repeat a doc_id share their successor, and where the successor's doc_id is
+first in the order of doc_id, in the place of the least long, which is no doc_id; rows that repeat a doc_id share their successor, and where the successor's doc_id is
 repeated, its least text counts. Only doc_id and text are read.
 """
 
@@ -93,13 +93,13 @@ def compare(docs: DataFrame) -> DataFrame:
     Two exchanges: the texts once by doc_id, and to each predecessor the start and the fingerprint of its successor.
     """
     scratch = Scratch(docs.sparkSession, "merkle")
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(_FIRST)))
+    # The key stands for doc_id, so that both uses of the texts need the same columns and share one exchange.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     placed = rows.join(scratch.keep(_successors(rows, scratch), "successors"), "key")
     sent = placed.select(F.col("follows").alias("key"), F.struct(F.expr("substring(text, 1, need)").alias("start"), fingerprint(F.col("text")).alias("fp")).alias("successor"))
     sent = sent.groupBy("key").agg(F.min("successor").alias("successor"))
     n = F.length("text")
-    both = placed.select("key", "doc_id", "text").join(sent, "key")
+    both = rows.join(sent, "key").withColumn("doc_id", F.nullif("key", F.lit(_FIRST)))
     both = both.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - length(text) div 4)"), F.expr("substring(successor.start, 1, cast(length(text) div 4 as int))")).alias("edited"), "text", F.col("successor.fp").alias("next_fp"))
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fp")
     return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"))
