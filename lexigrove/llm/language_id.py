@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.llm.scratch import Scratch
+
 #: Learning takes about this many documents of each language at most (all, where there are fewer), by hash of doc_id.
 SAMPLE = 2000
 #: Words and n-grams below this share of their language's are not kept, so a table has at most 1/SHARE entries.
@@ -33,10 +35,13 @@ def remainder(column: str, by: int) -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Tables of scores (-log10 of relative frequency) from (doc_id, text, lang), of bounded size by SAMPLE and SHARE."""
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    size = rows.groupBy("lang").agg(F.count("*").alias("docs"))
+    scratch = Scratch(docs.sparkSession, "language-id")
+    # A row per language, written so that its size is known and the texts needn't be dealt by language to meet it.
+    size = scratch.keep(rows.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
     share = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)) * F.col("docs") < sample
     rows = rows.join(size, "lang").where(share)
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")).select("lang", F.lit(0).alias("size"), "gram", "n")
+    words = scratch.keep(words, "words")
     padded = F.concat(F.lit(" "), F.col("gram"), F.lit(" "))
 
     def cut(k: int) -> Column:
