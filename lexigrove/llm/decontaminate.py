@@ -1,8 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment.
 
 A test item is contained in a document when the document has at least `least` of the item's distinct shingles of five
-words (lower-cased runs of letters and digits). Items are partitioned by size: one of at most S = 2^c distinct shingles
-is searched in windows of 2 S shingles that begin every S, so a document of any length meets an item in sets of its own
+words (lower-cased runs of letters and digits). Items of at most EXACT shingles are found by the hashes of their shingles,
+without a chance of missing any. Larger ones are partitioned by size: one of at most S = 2^c distinct shingles is searched in windows of 2 S shingles that begin every S, so a document of any length meets an item in sets of its own
 order of size, and the Jaccard similarity of an item with the window that holds it is at least 0.19 (0.8 n against 2 S,
 n > S / 2). Windows whose MinHash signature agrees with an item's in any of SIGNATURE places make a candidate; the
 chance to miss one window at that bound is 0.81^64, about one in a million, and far less for whole passages. Candidates are
@@ -31,7 +31,7 @@ from lexigrove.llm.scratch import Scratch
 
 SHINGLE, LEAST, SIGNATURE = 5, 0.8, 64
 BLOCK, BLOCK_CHARS = 20_000, 16 << 20
-SMALLEST = 16
+SMALLEST, EXACT = 16, 8
 WORD = re.compile(r"[^\W_]+")
 REMEMBERED = 400_000
 _RANDOM = np.random.default_rng(20_240_101)
@@ -84,8 +84,14 @@ class Items:
         self.rows = [(item, shingles(words(text))) for item, text in rows]
         classes: dict[int, list[int]] = defaultdict(list)
         signatures: dict[int, list[int]] = {}
+        self.short: dict[int, list[int]] = defaultdict(list)
+        self.short_filter = np.zeros(1 << 16, bool)
         for i, (_, own) in enumerate(self.rows):
-            if own:
+            if 0 < len(own) <= EXACT:
+                for value in set(hashes.of(words(rows[i][1])).tolist()):
+                    self.short[value].append(i)
+                    self.short_filter[value & 0xFFFF] = True
+            elif own:
                 size = max(SMALLEST, 1 << (len(own) - 1).bit_length())
                 classes[size].append(i)
                 h = hashes.of(words(rows[i][1]))
@@ -109,13 +115,20 @@ def _minima(values: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarr
 
 
 def candidates(each: list[np.ndarray], items: Items) -> set[tuple[int, int]]:
-    """(document, item) numbers where a window's signature meets an item's."""
+    """(document, item) numbers where a window's signature meets an item's, or a document has a shingle of a short item."""
     counts = np.array([len(h) for h in each])
     full = np.flatnonzero(counts)
     found: set[tuple[int, int]] = set()
-    if not len(full) or not items.classes:
+    if not len(full):
         return found
     h, counts = np.concatenate([each[i] for i in full]), counts[full]
+    if items.short:
+        document = np.repeat(full, counts)
+        for j in np.flatnonzero(items.short_filter[(h & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
+            for i in items.short.get(int(h[j]), ()):
+                found.add((int(document[j]), i))
+    if not items.classes:
+        return found
     for k in range(SIGNATURE):
         low, have = _minima(_permuted(h, k), counts, SMALLEST)
         at = SMALLEST
