@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.llm import decontaminate, lines, simhash
 from lexigrove.llm.components import components
+from lexigrove.llm.edits import all_within, distance_within, few_edits, similar
 from lexigrove.llm.scratch import Scratch
 
 VOCABULARY = [f"w{i}" for i in range(300)]
@@ -122,11 +123,11 @@ def naive_lines(docs):
     for i, t in docs:
         for n, line in enumerate((t or "").split("\n")):
             norm = lines.normalised(line)
-            if len(norm.split()) >= lines.FEW:
+            if norm:
                 occurrences.setdefault(norm, []).append((i, n))
     norms = list(occurrences)
-    fps = [int(simhash.majority(np.array([xxhash.xxh64_intdigest(w) for w in set(n.split(" "))], np.uint64), np.array([len(set(n.split(" ")))]))[0]) for n in norms]
-    root = united(len(norms), [(i, j) for i in range(len(norms)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= lines.DISTANCE and lines.similar(norms[i], norms[j])])
+    long = [len(n.split()) >= lines.FEW for n in norms]
+    root = united(len(norms), [(i, j) for i in range(len(norms)) for j in range(i) if long[i] and long[j] and similar(norms[i], norms[j], 0.8)])
     best = {}
     for k, n in enumerate(norms):
         best[root[k]] = min([best.get(root[k], min(occurrences[n])), *occurrences[n]])
@@ -139,7 +140,7 @@ def test_line_dedup(spark, monkeypatch, chunk):
     rng = random.Random(11)
     base = [text(rng, rng.choice([4, 6, 30, 60])) for _ in range(30)]
     pool = base + [altered(rng, x) for x in base for _ in range(2)] + [x.upper() + "!" for x in base[:10]] + [" ".join(reversed(x.split())) for x in base[:10]]
-    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(6)))) for i in range(60)] + [(100, None), (101, ""), (102, "\n\n"), (103, "w1 " * 20_000 + "\n" + base[5])]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(6)))) for i in range(60)] + [(100, None), (101, ""), (102, "\n\n"), (103, "w1 " * 20_000 + "\n" + base[5]), (104, "I love 你好世界再见朋友\nok\n \n..."), (105, "OK!\ni LOVE 你好世界再见朋友")]
     want = naive_lines(docs)
     got = lines.duplicate_lines(frame(spark, docs)).collect()
     assert {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in got} == want
@@ -175,7 +176,21 @@ def test_levenshtein_bound():
         if rng.random() < 0.5:
             b = a[:6] + b
         most = rng.randrange(12)
-        assert lines.distance_within(a, b, most) == (full(a, b) <= most)
+        assert distance_within(a, b, most) == (full(a, b) <= most) == all_within([(a, b, most)])[0]
+        assert not few_edits(a.split(), b.split(), most) or full(" ".join(a.split()), " ".join(b.split())) <= most
+
+
+def test_many_distances_at_once():
+    rng = random.Random(4)
+    pairs = []
+    for n in [1, 5, 63, 64, 65, 128, 129, 400] * 60:
+        a = [rng.choice("abcdé中") for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(max(2, n // 3))):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice("abc") * rng.randrange(2)
+        pairs.append(("".join(a), "".join(b), n // 5))
+    assert all_within(pairs) == [distance_within(*x) for x in pairs]
 
 
 def test_decontamination(spark):
