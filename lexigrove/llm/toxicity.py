@@ -1,22 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney bigram models over shared backoff counts.
 
-Each class (toxic, ordinary) has discounted bigram counts and discounted continuation counts; what the discounts free
-goes, at one weight for both classes, to one backoff distribution: the words' counts over all documents. An expression
-too rare to tell the classes apart has the pooled counts in both models, so it favours neither, whatever the sizes of
-the classes. Each distinct line of a class counts once, and an expression once in it, so neither copies of a document
-nor a word said over and over weigh more than one. A document's
-evidence is the difference of its log-likelihoods divided by its number of words; a logistic curve, fitted on
-labelled rows scored by models fitted without them, turns it into a score.
-
-Defined results: a null text counts as empty; a text without words has evidence 0; without labels of both classes the
-score is the curve's default, below one half. Repeated rows and null doc_ids each give a row; a document with several
-labels is toxic if one says so. Only doc_id and text are read, and doc_id and toxic of the labels.
+Each class (toxic, ordinary) has discounted bigram counts and, below them, discounted continuation counts; what its own
+discounts free goes to the next lower level, and below words to one distribution that both share: in how many of all
+documents a word stands. Each distinct line of a class counts once, and an expression once in it, so neither copies of a
+document nor a word said over and over weigh more than one.
+
+An expression has counts of its own only where the classes are known to differ in it: where the rates of lines that have it
+differ at least RATIO-fold, and the likelihood-ratio statistic of that difference is at least SURE and 2 ln(expressions), which
+chance alone is unlikely to reach anywhere. Every rarer or less telling expression is smoothed to the shared counts
+altogether, in both models alike, so it favours neither. Without that the models don't work on texts of mostly rare words;
+README has figures. A document's evidence is the difference of its log-likelihoods divided by its number of words; a
+logistic curve, fitted on labelled rows scored by models fitted without them, turns it into a score.
+
+Defined results: a null text counts as empty; a text without words has evidence 0; a text of any length is read whole; without
+labels of both classes the score is the curve's default, below one half, as it is for an empty table's rows, if any come
+later. Repeated rows and null doc_ids each give a row; a document with several labels is toxic if one says so. Only doc_id
+and text are read, and doc_id and toxic of the labels.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -31,19 +38,13 @@ from lexigrove.llm.scratch import Scratch
 #: The class models are fitted on about this many labelled rows of each class at most, by hash of doc_id.
 SAMPLE = 5000
 DISCOUNT = 0.75
-#: Expressions seen less often than this, or below SHARE of all of their length, back off to the shared counts; so each
-#: table has at most 1/SHARE entries at any size of corpus.
-RARE, SHARE = 2, 2e-6
-#: A class keeps counts of its own for an expression only where the classes' rates differ at least RATIO-fold and the
-#: likelihood-ratio statistic of that difference is at least SURE and at least 2 ln(number of expressions), which chance
-#: alone is unlikely to reach anywhere; all others are smoothed to the shared counts.
+#: How sure it must be that the classes differ in an expression, and how much.
 SURE, RATIO = 12.0, 4.0
 WORD = re.compile(r"[^\W\d_]+")
 DEFAULT = (3.0, -2.0)
 #: The curve is fitted on rows scored by models that never saw their part; "all" is the model that is used.
 PARTS = 4
 FOLDS = {str(k): tuple(" + ".join(f"{c}{i}" for i in range(PARTS) if i != k) for c in "to") for k in (*range(PARTS), "all")}
-ALL = " + ".join(FOLDS["all"])
 
 
 def _words() -> Column:
@@ -60,35 +61,36 @@ def sample_of(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return each.where(u < share).select("doc_id", "toxic", part.alias("part"), (1 / share).alias("weight"))
 
 
-def _telling(a: np.ndarray, b: np.ndarray, n_a: np.ndarray | float, n_b: np.ndarray | float) -> np.ndarray:
-    """Where counts a of n_a and b of n_b differ by RATIO and SURE."""
-    sure = max(SURE, 2 * np.log(max(len(a), 1)))
+def _telling(a: Column, b: Column, n_a: float, n_b: float, kinds: int) -> Column:
+    """Whether counts a of n_a and b of n_b differ by RATIO and SURE."""
     both = (a + b) / (n_a + n_b)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(a > 0, a * np.log(a / (n_a * both)), 0) + np.where(b > 0, b * np.log(b / (n_b * both)), 0))
-        ratio = ((a + 0.5) / n_a) / ((b + 0.5) / n_b)
-    return (g >= sure) & ((ratio >= RATIO) | (ratio <= 1 / RATIO))
+    part = lambda x, n: F.when(x > 0, x * F.log(x / (n * both))).otherwise(0.0)
+    ratio = ((a + 0.5) / n_a) / ((b + 0.5) / n_b)
+    return (2 * (part(a, n_a) + part(b, n_b)) >= max(SURE, 2 * math.log(max(kinds, 1)))) & ((ratio >= RATIO) | (ratio <= 1 / RATIO))
 
 
-def _tables(uni: pd.DataFrame, bi: pd.DataFrame, total: pd.Series, fold: str) -> dict:
+def _any(columns: list[Column]) -> Column:
+    return reduce(lambda x, y: x | y, columns)
+
+
+def _tables(uni: pd.DataFrame, bi: pd.DataFrame, total: pd.Series, every: float, fold: str) -> dict:
     """Log-likelihood differences: of words, and of bigrams beyond their words'."""
-    t, o = uni[f"t_{fold}"].to_numpy(float), uni[f"o_{fold}"].to_numpy(float)
-    n_t, n_o = max(float(total[f"t_{fold}"]), 1.0), max(float(total[f"o_{fold}"]), 1.0)
-    weight = DISCOUNT * float(total["types"]) / max(n_t + n_o, 1.0)
-    back = weight * uni["share"].to_numpy(float)
-    own, pooled = _telling(t, o, n_t, n_o), np.maximum(t + o - DISCOUNT, 0) / (n_t + n_o) + back
-    p_t = np.where(own, np.maximum(t - DISCOUNT, 0) / n_t + back, pooled)
-    p_o = np.where(own, np.maximum(o - DISCOUNT, 0) / n_o + back, pooled)
-    words = {w: x for w, x in zip(uni["w"], np.log(p_t / p_o), strict=True) if x}
+    share = (uni["docs"].to_numpy(float) + 0.5) / (every + 1)
+    n = {c: max(float(total[f"{c}_{fold}"]), 1.0) for c in "to"}
+    count = {c: uni[f"{c}_{fold}"].to_numpy(float) for c in "to"}
+    own = {c: np.maximum(count[c] - DISCOUNT, 0) / n[c] + DISCOUNT * float(total[f"{c}_types_{fold}"]) / n[c] * share for c in "to"}
+    known = uni[f"tells_{fold}"].to_numpy(bool)
+    p = {c: np.where(known, own[c], share) for c in "to"}
+    words = {w: x for w, x in zip(uni["w"], np.log(p["t"] / p["o"]), strict=True) if x}
     at = {w: i for i, w in enumerate(uni["w"])}
-    bi = bi[bi["w"].isin(at)]
+    bi = bi[bi[f"tells_{fold}"].astype(bool)]
     i = bi["w"].map(at).to_numpy(int) if len(bi) else np.zeros(0, int)
-    ct, co = bi[f"t_{fold}"].to_numpy(float), bi[f"o_{fold}"].to_numpy(float)
-    ht, ho = np.maximum(bi[f"ht_{fold}"].to_numpy(float), 1), np.maximum(bi[f"ho_{fold}"].to_numpy(float), 1)
-    lam = DISCOUNT * bi["kinds"].to_numpy(float) / np.maximum(bi["seen"].to_numpy(float), 1.0)
-    q_t = np.maximum(ct - DISCOUNT, 0) / ht + lam * p_t[i]
-    q_o = np.maximum(co - DISCOUNT, 0) / ho + lam * p_o[i]
-    more = np.where(_telling(ct, co, ht, ho), np.log(q_t / q_o) - np.log(p_t[i] / p_o[i]), 0.0)
+    q = {}
+    for c in "to":
+        seen = bi[f"h{c}_{fold}"].to_numpy(float)
+        held = np.maximum(bi[f"{c}_{fold}"].to_numpy(float) - DISCOUNT, 0) + DISCOUNT * bi[f"k{c}_{fold}"].to_numpy(float) * p[c][i]
+        q[c] = np.where(seen > 0, held / np.maximum(seen, 1), p[c][i])
+    more = np.log(q["t"] / q["o"]) - np.log(p["t"][i] / p["o"][i])
     return {"words": words, "pairs": {(h, w): x for h, w, x in zip(bi["h"], bi["w"], more, strict=True) if x}}
 
 
@@ -126,35 +128,46 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, sample: int = SAMPLE) -> dict:
     """The model from labelled rows of docs; shared counts over all rows of `corpus` (docs where not given).
 
-    Class counts are made in Spark and pruned there before they come to the driver; the sample table is small by its
-    parameter and so is broadcast, as is the pruned vocabulary.
+    Class counts are made in Spark, and only expressions that tell the classes apart come to the driver: what 2 * `sample`
+    labelled texts can be sure of. The sample table is small by its parameter and so is broadcast, as are those words.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = scratch.keep(sample_of(labels, sample), "sample")
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = scratch.keep(rows, "rows")
     lines = rows.select("toxic", "part", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
-    words = lines.groupBy("toxic", "text").agg(F.min("part").alias("part")).select("toxic", "part", _words().alias("words"))
-    pairs = words.select("toxic", "part", F.explode(F.array_distinct(F.arrays_zip(F.slice(F.concat(F.array(F.lit("")), "words"), 1, F.size("words")).alias("h"), F.col("words").alias("w")))).alias("p")).select("toxic", "part", "p.h", "p.w")
-    count = lambda toxic, part: F.count_if((F.col("toxic") == toxic) & (F.col("part") == part))
-    pairs = scratch.keep(pairs.groupBy("h", "w").agg(*[count(y, k).alias(f"{c}{k}") for y, c in ((1, "t"), (0, "o")) for k in range(PARTS)]), "pairs")
+    lines = scratch.keep(lines.groupBy("toxic", "text").agg(F.min("part").alias("part")).select("toxic", "part", _words().alias("words")), "lines")
+    pairs = lines.select("toxic", "part", F.explode(F.array_distinct(F.arrays_zip(F.slice(F.concat(F.array(F.lit("")), "words"), 1, F.size("words")).alias("h"), F.col("words").alias("w")))).alias("p")).select("toxic", "part", "p.h", "p.w")
+    counts = [F.count_if((F.col("toxic") == y) & (F.col("part") == k)).alias(f"{c}{k}") for y, c in ((1, "t"), (0, "o")) for k in range(PARTS)]
+    pairs = scratch.keep(pairs.groupBy("h", "w").agg(*counts), "pairs")
+    having = scratch.keep(lines.select("toxic", "part", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(*counts), "having")
+    size = lines.agg(*counts, F.count("*").alias("n")).select(*[F.expr(e).alias(f"{c}_{fold}") for fold, exprs in FOLDS.items() for c, e in zip("to", exprs, strict=True)]).toPandas().fillna(0).iloc[0]
     both = [(f"{c}_{fold}", expr) for fold, exprs in FOLDS.items() for c, expr in zip("to", exprs, strict=True)]
-    uni = scratch.keep(pairs.groupBy("w").agg(F.count("*").alias("kinds"), *[F.count_if(F.expr(f"({e}) > 0")).alias(n) for n, e in both]), "words")
-    total = uni.agg(F.count("*").alias("types"), F.sum("kinds").alias("kinds"), *[F.sum(n).alias(n) for n, _ in both]).toPandas().fillna(0).iloc[0]
-    vocabulary = uni.where((F.col("kinds") >= RARE) & (F.col("kinds") >= SHARE * float(total["kinds"])))
-    seen = (corpus if corpus is not None else docs).select(F.explode(_words()).alias("w"))
+    kinds = having.count(), pairs.count()
+
+    def tells(fold: str, n: int) -> Column:
+        t, o = map(F.expr, FOLDS[fold])
+        return _telling(t, o, max(float(size[f"t_{fold}"]), 1.0), max(float(size[f"o_{fold}"]), 1.0), n)
+
+    each = [tells(fold, kinds[1]).alias(f"tells_{fold}") for fold in FOLDS]
+    contexts = pairs.groupBy("h").agg(*[F.sum(F.expr(e)).alias(f"h{n}") for n, e in both], *[F.count_if(F.expr(f"({e}) > 0")).alias(f"k{n}") for n, e in both])
+    telling = pairs.select("h", "w", *[F.expr(e).alias(n) for n, e in both], *each).where(_any([F.col(f"tells_{fold}") for fold in FOLDS]))
+    telling = scratch.keep(telling, "telling pairs")
+    uni = scratch.keep(pairs.groupBy("w").agg(*[F.count_if(F.expr(f"({e}) > 0")).alias(n) for n, e in both]), "words")
+    total = uni.agg(*[F.sum(n).alias(n) for n, _ in both], *[F.count_if(F.col(n) > 0).alias(n.replace("_", "_types_")) for n, _ in both]).toPandas().fillna(0).iloc[0]
+    told = having.select("w", *[tells(fold, kinds[0]).alias(f"tells_{fold}") for fold in FOLDS])
+    told = told.join(telling.select("w").distinct().withColumn("in_pair", F.lit(True)), "w", "left").where(_any([F.col("in_pair").isNotNull(), *[F.col(f"tells_{fold}") for fold in FOLDS]])).drop("in_pair")
+    vocabulary = scratch.keep(told.join(uni, "w"), "vocabulary")
+    seen = (corpus if corpus is not None else docs).select(F.explode(F.array_distinct(_words())).alias("w"))
     known = F.broadcast(vocabulary.select("w", F.lit(True).alias("kept")))
-    shared = seen.join(known, "w", "left").groupBy(F.when(F.col("kept"), F.col("w")).alias("w")).agg(F.count("*").alias("n"))
+    shared = seen.join(known, "w", "left").groupBy(F.when(F.col("kept"), F.col("w")).alias("w")).agg(F.count("*").alias("docs"))
     shared = scratch.keep(shared, "shared")
-    every = float(shared.agg(F.sum("n")).first()[0] or 1)
-    uni_kept = vocabulary.join(shared, "w").withColumn("share", F.col("n") / every).toPandas()
-    size = float(pairs.agg(F.sum(F.expr(ALL))).first()[0] or 1)
-    contexts = pairs.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.expr(ALL)).alias("seen"), *[F.sum(F.expr(e)).alias(f"h{n}") for n, e in both])
-    frequent = pairs.where((F.expr(ALL) >= RARE) & (F.expr(ALL) >= SHARE * size))
-    bi_kept = frequent.select("h", "w", *[F.expr(e).alias(n) for n, e in both]).join(contexts, "h").toPandas()
-    models = {fold: _tables(uni_kept, bi_kept, total, fold) for fold in FOLDS}
+    every = float(shared.agg(F.sum("docs")).first()[0] or 1)
+    uni_kept = vocabulary.join(shared, "w", "left").fillna(0, ["docs"]).toPandas()
+    bi_kept = telling.join(contexts, "h").toPandas()
+    models = {fold: _tables(uni_kept, bi_kept, total, every, fold) for fold in FOLDS}
     slope, intercept = DEFAULT
-    if float(total["t_all"]) and float(total["o_all"]):
+    if float(size["t_all"]) and float(size["o_all"]):
         other = docs.sparkSession.sparkContext.broadcast([models[str(k)] for k in range(PARTS)])
 
         def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
