@@ -15,12 +15,14 @@ from lexigrove.functions.analysis import Profile, analyze, has_foreign, stemmed
 class Index:
     """documents (doc_id, doc_seq): the universe, documents without tokens included. postings (term, doc_id, pos).
 
-    tf, term_stats, doc_stats and the two totals derive from these; nothing is collected but the totals.
+    tf, term_stats, doc_stats, weights, norms and the two totals derive from these, or are read where the index is a stored
+    one; nothing is collected but the totals.
     """
 
     documents: DataFrame
     postings: DataFrame
     profile: Profile
+    stored: bool = False
 
     @cached_property
     def tf(self) -> DataFrame:
@@ -38,13 +40,30 @@ class Index:
         lengths = self.postings.groupBy("doc_id").agg(F.count("*").alias("dl"))
         return self.documents.join(lengths, "doc_id", "left").select("doc_id", "doc_seq", F.coalesce("dl", F.lit(0)).alias("dl"))
 
+    @cached_property
+    def weights(self) -> DataFrame:
+        """(term, doc_id, w): (1 + log10 tf) log10(N / df)"""
+        idf = F.log10(F.lit(float(self.n_docs)) / F.col("df"))
+        return self.tf.join(self.term_stats, "term").select("term", "doc_id", ((1 + F.log10("tf")) * idf).alias("w"))
+
+    @cached_property
+    def norms(self) -> DataFrame:
+        """(doc_id, norm) of documents with tokens: the length of the weight vector, 1 where that is 0."""
+        norms = self.weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return norms.select("doc_id", F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")).alias("norm"))
+
     @cached_property
     def n_docs(self) -> int:
         return self.documents.count()
 
     @cached_property
     def n_tokens(self) -> int:
-        return self.postings.count()
+        return self.doc_stats.agg(F.sum("dl")).first()[0] or 0
+
+    def first_seen(self, terms: DataFrame) -> DataFrame:
+        """terms (term, ...) with `seen`: the least (place of the document, position) at which each stands."""
+        places = self.postings.join(terms.select("term"), "term", "left_semi").join(self.documents, "doc_id")
+        return terms.join(places.groupBy("term").agg(F.min(F.struct("doc_seq", "pos")).alias("seen")), "term")
 
     @property
     def avgdl(self) -> float:
@@ -104,11 +123,14 @@ def share_of_documents(df: Column, n_docs: int) -> Column:
 
 
 def top_terms(index: Index, k: int = 10) -> DataFrame:
-    """(term, df, share): the k most widespread terms, ties by term."""
-    return index.term_stats.orderBy(F.desc("df"), "term").limit(k).select("term", "df", share_of_documents(F.col("df"), index.n_docs).alias("share"))
+    """(term, df, share): the k most widespread terms, ties in the order in which terms were first seen. Only terms as widespread
+    as the k-th are looked up in the postings."""
+    least = index.term_stats.orderBy(F.desc("df")).limit(k).agg(F.min("df").alias("least"))
+    widespread = index.term_stats.join(F.broadcast(least), F.col("df") >= F.col("least")).drop("least")
+    return index.first_seen(widespread).orderBy(F.desc("df"), "seen").limit(k).select("term", "df", share_of_documents(F.col("df"), index.n_docs).alias("share"))
 
 
 def rare_terms(index: Index, k: int = 10) -> DataFrame:
-    """(term, more): the first k terms of one document, and how many such terms follow them."""
+    """(term, more): the k terms of one document that were seen first, and how many such terms follow them."""
     once = index.term_stats.where("df = 1").select("term")
-    return once.orderBy("term").limit(k).withColumn("more", F.greatest(F.lit(once.count() - k), F.lit(0)).cast("long"))
+    return index.first_seen(once).orderBy("seen").limit(k).select("term").withColumn("more", F.greatest(F.lit(once.count() - k), F.lit(0)).cast("long"))

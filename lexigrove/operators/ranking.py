@@ -25,6 +25,8 @@ def query_terms(queries: DataFrame, profile: Profile) -> DataFrame:
 
 #: Query terms up to this many rows are broadcast; more are joined by shuffle.
 FEW_TERMS = 100_000
+#: So many distinct terms become a filter.
+FILTERED = 1000
 
 
 def small(terms: DataFrame) -> DataFrame:
@@ -32,21 +34,17 @@ def small(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS else terms
 
 
-def log_tf(tf: Column) -> Column:
-    return 1 + F.log10(tf)
-
-
-def tfidf(index: Index) -> DataFrame:
-    """(term, doc_id, w)"""
-    idf = F.log10(F.lit(float(index.n_docs)) / F.col("df"))
-    return index.tf.join(index.term_stats, "term").select("term", "doc_id", (log_tf(F.col("tf")) * idf).alias("w"))
+def asked(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, doc_id, tf) and (term, df) of the terms of queries. A few terms become a filter on the scan of the postings, more
+    are joined to it; no others are aggregated."""
+    few = [r["term"] for r in terms.select("term").distinct().limit(FILTERED + 1).collect()]
+    rows = index.only(few) if len(few) <= FILTERED else index.postings.join(terms.select("term"), "term", "left_semi")
+    tf = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return tf, index.term_stats if index.stored else tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def doc_norms(index: Index) -> DataFrame:
-    """(doc_id, norm) of documents with tokens: the length of the weight vector, 1 where that is 0."""
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    norms = tfidf(index).groupBy("doc_id").agg(length.alias("norm"))
-    return norms.select("doc_id", F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")).alias("norm"))
+def log_tf(tf: Column) -> Column:
+    return 1 + F.log10(tf)
 
 
 def top(scores: DataFrame, k: int, key: Column | None = None) -> DataFrame:
@@ -57,13 +55,14 @@ def top(scores: DataFrame, k: int, key: Column | None = None) -> DataFrame:
 
 def cosine_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(qid, doc_id, doc_seq, raw, score): cosine clamped to [0, 1], and the same over the query's best; positive only."""
-    terms = query_terms(queries, index.profile)
+    terms = small(query_terms(queries, index.profile))
+    tf, df = asked(index, terms)
     idf = F.log10(F.lit(float(index.n_docs)) / F.col("df"))
-    weighted = index.term_stats.join(small(terms), "term").select("qid", "term", (log_tf(F.col("qtf")) * idf).alias("wq"))
+    weighted = df.join(terms, "term").select("qid", "term", "df", (log_tf(F.col("qtf")) * idf).alias("wq"))
     lengths = weighted.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
-    dots = tfidf(index).join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("dot"))
+    dots = tf.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * log_tf(F.col("tf")) * idf).alias("dot"))
     raw = F.col("dot") / (F.when(F.col("qnorm") == 0, 1.0).otherwise(F.col("qnorm")) * F.col("norm"))
-    rows = dots.join(lengths, "qid").join(doc_norms(index), "doc_id").withColumn("raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
+    rows = dots.join(lengths, "qid").join(index.norms, "doc_id").withColumn("raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
     rows = rows.where("raw > 0").join(index.documents, "doc_id")
     return rows.select("qid", "doc_id", "doc_seq", "raw", (F.col("raw") / F.max("raw").over(Window.partitionBy("qid"))).alias("score"))
 
@@ -71,9 +70,7 @@ def cosine_scores(index: Index, queries: DataFrame) -> DataFrame:
 def bm25_scores(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, doc_id, doc_seq, score): a term counts as often as the query repeats it; positive scores only."""
     terms = small(query_terms(queries, index.profile))
-    wanted = small(query_terms(queries, index.profile).select("term").distinct())
-    tf = index.postings.join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf, df = asked(index, terms)
     n, avgdl = float(index.n_docs), index.avgdl or 1.0
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import DIGITS, LATIN, Profile
 from lexigrove.operators import boolean, display, evaluation, index, ranking
-from lexigrove.sources.sinks import index_lines
+from lexigrove.sources import workspace
+from lexigrove.sources.sinks import index_lines, load_index, save_stored_index
 
 STOP = ("a", "an", "and", "de", "in", "la", "of", "on", "the", "to")
 STOPPED = LATIN.with_lexicons(stopwords=STOP)
@@ -41,10 +42,24 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("doc_id").alias("doc_seq"))
 
 
-def indexed(spark: SparkSession, sf_dir: str, profile: Profile = LATIN) -> index.Index:
+def built(spark: SparkSession, sf_dir: str, profile: Profile = LATIN) -> index.Index:
     return index.build_index(corpus(spark, sf_dir), profile, "doc_id", "text")
 
 
+#: Where this process has stored an index, by session, tables and profile.
+_STORED: dict[tuple, str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, profile: Profile = LATIN) -> index.Index:
+    """The index of a corpus, built and stored when a session first asks for it and read back from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, profile)
+    if key not in _STORED:
+        path = workspace.fresh(spark, "index")
+        save_stored_index(built(spark, sf_dir, profile), path)
+        _STORED[key] = path
+    return load_index(spark, _STORED[key], profile)
+
+
 _TOKENS = "tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents)"
 _STOPPED = f"tok AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: NOT list_contains({list(STOP)!r}, x)) AS t FROM documents)"
 _POSTINGS = "postings AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM tok)"
@@ -57,6 +72,9 @@ _STATS = """
     av AS (SELECT sum(dl) / count(*) AS avgdl FROM dl)"""
 
 
+_SEEN = ", seen AS (SELECT term, s.doc_id AS doc, s.pos AS pos FROM (SELECT term, min({'doc_id': doc_id, 'pos': pos}) AS s FROM postings GROUP BY ALL))"
+
+
 def _asked(queries: dict[str, str]) -> str:
     values = ", ".join(f"('{k}', '{v}')" for k, v in queries.items())
     return f"""
@@ -125,6 +143,11 @@ SEARCHES: dict[str, tuple[str, str, Profile]] = {
     "bool_nested_parens": ("((mit OR apache) AND license) OR (NOT (of OR de) AND NOT en)", f"(({_has('mit')} OR {_has('apache')}) AND {_has('license')}) OR (NOT ({_has('of')} OR {_has('de')}) AND NOT {_has('en')})", LATIN),
     "bool_first_operand": ("apache mit", _has("apache"), LATIN),
     "bool_leftover_paren": ("license OR (apache AND version", _has("license"), LATIN),
+    "bool_stray_paren": ("license OR version) AND apache", f"({_has('license')} OR {_has('version')}) AND {_has('apache')}", LATIN),
+    "bool_not_stray_paren": ("NOT ) license", "false", LATIN),
+    "bool_empty_quotes": ('"" OR license', "false", LATIN),
+    "bool_not_empty_quotes": ('NOT ""', "false", LATIN),
+    "bool_after_empty_quotes": ('"" license', _has("license"), LATIN),
     "bool_underflow": ("AND license", "false", LATIN),
     "bool_split_operand": ("gnu-mit", f"{_has('gnu')} OR {_has('mit')}", LATIN),
     "bool_stopword": ("license AND NOT the", _has("license"), STOPPED),
@@ -150,7 +173,15 @@ def tokens_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexed(spark, sf_dir).postings.select("term", "doc_id", F.col("pos").cast("long").alias("pos"))
+    return built(spark, sf_dir).postings.select("term", "doc_id", F.col("pos").cast("long").alias("pos"))
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds and stores the index anew; one row of its totals."""
+    path = workspace.fresh(spark, "index")
+    save_stored_index(built(spark, sf_dir), path)
+    at = load_index(spark, path, LATIN)
+    return at.doc_stats.agg(F.count("*").alias("documents"), F.sum("dl").alias("tokens")).join(at.term_stats.agg(F.count("*").alias("terms")))
 
 
 def postings_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,11 +201,11 @@ def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.tfidf(indexed(spark, sf_dir)).select("term", "doc_id", F.round("w", 6).alias("w"))
+    return indexed(spark, sf_dir).weights.select("term", "doc_id", F.round("w", 6).alias("w"))
 
 
 def doc_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.doc_norms(indexed(spark, sf_dir)).select("doc_id", F.round("norm", 6).alias("norm"))
+    return indexed(spark, sf_dir).norms.select("doc_id", F.round("norm", 6).alias("norm"))
 
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,13 +302,14 @@ _BLOCKS = "[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿0-9]"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (tokens_digits, postings_latin, postings_stopped, term_df, doc_length, tf, tfidf_weights, doc_norms, collection_stats, lookups, documents_with_term, foreign_terms, arabic_only_terms, top_terms, rare_terms, index_dump_lines, bm25_top10, bm25_dup_query_term, cosine_top10, batch_ranked, batch_ranked_bm25, batch_boolean, confidence_cosine, confidence_bm25, result_summary, display_boolean, eval_metrics)
+    for f in (tokens_digits, postings_latin, index_build, postings_stopped, term_df, doc_length, tf, tfidf_weights, doc_norms, collection_stats, lookups, documents_with_term, foreign_terms, arabic_only_terms, top_terms, rare_terms, index_dump_lines, bm25_top10, bm25_dup_query_term, cosine_top10, batch_ranked, batch_ranked_bm25, batch_boolean, confidence_cosine, confidence_bm25, result_summary, display_boolean, eval_metrics)
 } | {name: _search(query, profile) for name, (query, _, profile) in SEARCHES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "tokens_digits": "WITH tok AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\x{0600}-\\x{06FF}0-9]+') AS t FROM documents) SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM tok",
     "postings_latin": f"{_BASE} SELECT term, doc_id, pos FROM postings",
     "postings_stopped": f"WITH {_STOPPED}, {_POSTINGS} SELECT term, doc_id, pos FROM postings",
+    "index_build": f"{_BASE} SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS documents, count(*) AS tokens, count(DISTINCT term) AS terms FROM postings",
     "term_df": f"{_BASE} SELECT term, count(DISTINCT doc_id) AS df FROM postings GROUP BY ALL",
     "doc_length": f"WITH {_TOKENS} SELECT doc_id, len(t) AS dl FROM tok",
     "tf": f"{_BASE} SELECT term, doc_id, count(*) AS tf FROM postings GROUP BY ALL",
@@ -288,9 +320,9 @@ ORACLE_SQL: dict[str, str] = {
     "documents_with_term": f"WITH {_TOKENS} SELECT doc_id FROM tok WHERE {_has('apache')}",
     "foreign_terms": f"{_BASE} SELECT count(DISTINCT term) AS n FROM postings WHERE NOT regexp_full_match(term, '{_BLOCKS}+')",
     "arabic_only_terms": f"{_BASE} SELECT term, count(DISTINCT doc_id) AS df FROM postings WHERE regexp_full_match(term, '{_BLOCKS}+') GROUP BY ALL",
-    "top_terms": f"{_BASE}, {_STATS} SELECT term, df, round(df / (SELECT n FROM n) * 100, 4) AS share FROM df ORDER BY df DESC, term LIMIT 10",
-    "rare_terms": f"{_BASE}, {_STATS} SELECT term, greatest((SELECT count(*) FROM df WHERE df = 1) - 10, 0) AS more FROM df WHERE df = 1 ORDER BY term LIMIT 10",
-    "index_dump_lines": f"{_BASE}, {_STATS} SELECT term, term || ':' || df AS line FROM df UNION ALL SELECT term, chr(9) || doc_id || ': ' || string_agg(CAST(pos AS VARCHAR), ', ' ORDER BY pos) FROM postings GROUP BY term, doc_id",
+    "top_terms": f"{_BASE}, {_STATS} {_SEEN} SELECT term, df, round(df / (SELECT n FROM n) * 100, 4) AS share FROM df JOIN seen USING (term) ORDER BY df DESC, doc, pos LIMIT 10",
+    "rare_terms": f"{_BASE}, {_STATS} {_SEEN} SELECT term, greatest((SELECT count(*) FROM df WHERE df = 1) - 10, 0) AS more FROM df JOIN seen USING (term) WHERE df = 1 ORDER BY doc, pos LIMIT 10",
+    "index_dump_lines": f"{_BASE}, {_STATS} SELECT term, term || ':' || df AS line FROM df UNION ALL SELECT term, chr(9) || doc_id || ': ' || string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FROM postings GROUP BY term, doc_id",
     "bm25_top10": _ranked_sql("bm25", {"1": RANKED["1"]}),
     "bm25_dup_query_term": _ranked_sql("bm25", {"4": RANKED["4"]}),
     "cosine_top10": _ranked_sql("cosine", {"1": RANKED["1"]}),

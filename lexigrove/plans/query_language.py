@@ -9,7 +9,7 @@ import re
 from dataclasses import dataclass
 
 #: The scanner's alternatives and the operators' ranks.
-SCANNER = re.compile(r'#\d+\([^)]*\)|"[^"]*"|\bAND\b|\bOR\b|\bNOT\b|\(|\)|[^\s()"]+', re.IGNORECASE)
+SCANNER = re.compile(r'#\d+\([^)]+\)|"[^"]+"|\bAND\b|\bOR\b|\bNOT\b|\(|\)|[^\s()"]+', re.IGNORECASE)
 PROXIMITY = re.compile(r"#(\d+)\(([^,]+),\s*([^)]+)\)")
 RANK = {"NOT": 3, "AND": 2, "OR": 1}
 
@@ -37,8 +37,8 @@ def scan(query: str) -> list[str]:
 
 
 def postfix(query: str) -> list[str]:
-    """Operands before operators: NOT binds closest and to the right, AND before OR, both to the left. A stray `)` is
-    skipped; a `(` never closed comes last, as an operand that matches nothing."""
+    """Operands before operators: NOT binds closest and to the right, AND before OR, both to the left. A stray `)` ends what
+    stands before it, as if that were in brackets; a `(` never closed comes last, as an operand that matches nothing."""
     out: list[str] = []
     waiting: list[str] = []
     for token in scan(query):
@@ -50,9 +50,8 @@ def postfix(query: str) -> list[str]:
         elif token == "(":
             waiting.append(token)
         elif token == ")":
-            if "(" in waiting:
-                while (top := waiting.pop()) != "(":
-                    out.append(top)
+            while waiting and (top := waiting.pop()) != "(":
+                out.append(top)
         else:
             out.append(token)
     return out + waiting[::-1]

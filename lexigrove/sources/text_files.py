@@ -52,15 +52,24 @@ def read_protected_words(spark: SparkSession, path: str) -> frozenset[str]:
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """(qid, doc_id, rel): white-space separated `qid iteration doc rel`, further fields ignored; short lines and lines whose
-    rel is no integer are dropped; the last of a repeated pair counts."""
+    rel is no integer are dropped; the last of a repeated pair counts. A missing file has no judgements."""
     parts = F.split("line", r"(?U)\s+")
-    rows = _lines(spark, path).where(F.size(parts) >= 4).select(parts[0].alias("qid"), parts[2].alias("doc_id"), F.expr("try_cast(split(line, '\\\\s+')[3] AS INT)").alias("rel"), "seq")
+    try:
+        lines = _lines(spark, path)
+    except AnalysisException:
+        return spark.createDataFrame([], "qid string, doc_id string, rel int")
+    rows = lines.where(F.size(parts) >= 4).select(parts[0].alias("qid"), parts[2].alias("doc_id"), F.expr("try_cast(split(line, '\\\\s+')[3] AS INT)").alias("rel"), "seq")
     return _last(rows.where("rel is not null"), "qid", "doc_id").drop("seq")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, doc_id, score, rank): `qid,doc[,score]`, score 1.0 where missing; ranked by score, ties in file order."""
+    """(qid, doc_id, score, rank): `qid,doc[,score]`, score 1.0 where missing; ranked by score, ties in file order. A missing
+    file has no results."""
     parts = F.split("line", ",")
-    rows = _lines(spark, path).where(F.size(parts) >= 2).select(F.trim(parts[0]).alias("qid"), F.trim(parts[1]).alias("doc_id"), F.when(F.size(parts) >= 3, F.expr("try_cast(trim(split(line, ',')[2]) AS DOUBLE)")).otherwise(F.lit(1.0)).alias("score"), "seq")
+    try:
+        lines = _lines(spark, path)
+    except AnalysisException:
+        return spark.createDataFrame([], "qid string, doc_id string, score double, rank int")
+    rows = lines.where(F.size(parts) >= 2).select(F.trim(parts[0]).alias("qid"), F.trim(parts[1]).alias("doc_id"), F.when(F.size(parts) >= 3, F.expr("try_cast(trim(split(line, ',')[2]) AS DOUBLE)")).otherwise(F.lit(1.0)).alias("score"), "seq")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "seq")
     return rows.where("score is not null").select("qid", "doc_id", "score", F.row_number().over(order).alias("rank"))

@@ -94,7 +94,7 @@ def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([("10", "b a", 0), ("9", "a b a", 1), ("x", "a", 2)], "id string, full_text string, doc_seq long")
     index = build_index(docs, LATIN)
     sinks.save_index(index.postings, str(tmp_path / "index"))
-    assert read_all(tmp_path / "index") == "a:3\n\t9: 0, 2\n\t10: 1\n\tx: 0\nb:2\n\t9: 1\n\t10: 0\n"
+    assert read_all(tmp_path / "index") == "a:3\n\t9: 0,2\n\t10: 1\n\tx: 0\nb:2\n\t9: 1\n\t10: 0\n"
     sinks.save_postings(index.postings, str(tmp_path / "postings"))
     assert spark.read.parquet(str(tmp_path / "postings")).count() == 6
     engine = SearchEngine(index, EngineConfig())

@@ -79,6 +79,9 @@ def test_edge_cases():
     assert docs("(a AND b") == {2, 3}
     assert docs("c OR (a AND b") == {5}
     assert docs("a) OR b") == {1, 2, 3, 4}
+    assert docs("a OR b) AND c") == set() and docs("c OR b) AND c") == {5}
+    assert docs("NOT ) a") == docs('"" OR a') == docs('NOT ""') == set() and docs("#2() OR a") == SETS["a"]
+    assert docs('"" a') == SETS["a"]
     assert docs("a or b") == docs("a Or b") == {1, 2, 3, 4}
     assert docs('"a') == SETS["a"]
 
