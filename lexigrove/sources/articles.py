@@ -56,15 +56,16 @@ def read_articles(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     """The articles under `path`.
 
     strict reads whole files with a real parser: text before an element's first child, the first of repeated children,
-    files without a root. Otherwise Spark's splittable XML reader is used, for large flat files; it raises on rows that
-    it could not parse. A missing path raises in either mode.
+    files without a root; a file is one task's and is held in memory, so a large corpus is best kept in many files.
+    Otherwise Spark's splittable XML reader is used, for large flat files with a root; it raises on rows that it could
+    not parse. A missing path raises in either mode.
     """
     if strict:
         files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
         rows = files.mapInArrow(_rows, PARSED)
         seq = F.xxhash64("file").bitwiseAND(F.lit((1 << 30) - 1)) * F.lit(1 << 32) + F.col("nth")
         return extract(rows.select("id", "headline", "text", seq.alias("doc_seq")))
-    schema = ARTICLE.add("_corrupt_record", StringType())
+    schema = StructType([*ARTICLE.fields, StructField("_corrupt_record", StringType())])
     rows = spark.read.format("xml").option("rowTag", "Article").option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).load(path)
     sound = F.when(F.col("_corrupt_record").isNotNull(), F.raise_error(F.lit("an article could not be parsed; read the file with strict=True"))).otherwise(F.col("ID"))
     return extract(rows.select(sound.alias("id"), F.col("HEADLINE").alias("headline"), F.col("TEXT").alias("text"), F.monotonically_increasing_id().alias("doc_seq")))

@@ -11,10 +11,12 @@ from lexigrove.functions.analysis import LATIN
 from lexigrove.operators import display
 from lexigrove.operators.boolean import near, near_by_join
 from lexigrove.operators.index import build_index
-from lexigrove.plans import catalog
+from lexigrove.plans import catalog, catalog_arabic, catalog_files
 from lexigrove.streaming.ingest import append_postings
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = catalog.QUERIES | catalog_arabic.QUERIES | catalog_files.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | catalog_arabic.ORACLE_SQL | catalog_files.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -32,15 +34,15 @@ def rows(frame, columns):
     return sorted(repr([plain(v) for v in r]) for r in frame[columns].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, duck, name):
-    ours, theirs = catalog.QUERIES[name](spark, DATA).toPandas(), duck.sql(catalog.ORACLE_SQL[name]).df()
+    ours, theirs = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours, sorted(ours.columns)) == rows(theirs, sorted(ours.columns))
 
 
 def test_entry_points(spark):
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL) and set(catalog.QUERIES) <= set(__spark_entry__.queries())
+    assert set(QUERIES) == set(ORACLE_SQL) and set(QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 10
 
 
