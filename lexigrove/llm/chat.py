@@ -6,9 +6,10 @@ before, the template rewrites history; then spans are located in the final outpu
 within is found by rendering it once more with a probe in its place.
 
 Defined results: a null text or role is empty; turns sort by turn, then role and text, nulls first; repeated rows are
-turns of their own; a null conv_id is a conversation. A conversation is rendered in segments of SEGMENT consecutive
-turn numbers, so prefixes stay short and a conversation of any length is spread over tasks. Only conv_id, turn, role
-and text are read.
+turns of their own; a null conv_id is a conversation; an empty table has none. What a template does with a turn may depend
+on all others, so a conversation is rendered as a whole, prefix by prefix, in one task: its work grows with the square of
+its length, its memory with the length. A turn whose text the template alters or drops has no text span and is no loss; a
+conversation with such a turn has null digests when read back. Only conv_id, turn, role and text are read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 64
 Turns = list[tuple[str, str]]
 
 _CONTROL = re.compile(r"\\|</?s>|\[/?(?:INST|ROLE)|<</?SYS>>|<\|im_(?:start|end)\|>")
@@ -101,9 +101,9 @@ def locate(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tupl
     return out, spans, rewrites
 
 
-FORMATTED = "conv_id long, segment long, formatted string, rewrites_at int, spans array<struct<role:string,start:long,stop:long,text_start:long,text_stop:long,loss:boolean>>"
+FORMATTED = "conv_id long, formatted string, rewrites_at int, spans array<struct<role:string,start:long,stop:long,text_start:long,text_stop:long,loss:boolean>>"
 _SPANS = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("text_start", pa.int64()), ("text_stop", pa.int64()), ("loss", pa.bool_())]))
-_SCHEMA = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("formatted", pa.string()), ("rewrites_at", pa.int32()), ("spans", _SPANS)])
+_SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("rewrites_at", pa.int32()), ("spans", _SPANS)])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -112,49 +112,42 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def format_conversations(conversations: DataFrame, template: Callable[[Turns], str] = inst) -> DataFrame:
-    """A row per segment, columns as in FORMATTED; loss marks assistant turns, whose text span is the loss mask."""
+    """A row per conversation, columns as in FORMATTED; loss marks assistant turns, whose text span is the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv, segment), turns in groupby(_rows(batches), key=lambda r: r[:2]):
+        for conv, turns in groupby(_rows(batches), key=lambda r: r[0]):
             turns = [(escape(role or ""), escape(text or "")) for *_, role, text in turns]
             out, spans, rewrites = locate(template, turns)
             rows = [{"role": role, "start": s, "stop": e, "text_start": w[0] if w else None, "text_stop": w[1] if w else None, "loss": role == "assistant" and w is not None} for (role, _), (s, e, w) in zip(turns, spans, strict=True)]
-            yield pa.RecordBatch.from_pylist([{"conv_id": conv, "segment": segment, "formatted": out, "rewrites_at": rewrites, "spans": rows}], schema=_SCHEMA)
+            yield pa.RecordBatch.from_pylist([{"conv_id": conv, "formatted": out, "rewrites_at": rewrites, "spans": rows}], schema=_SCHEMA)
 
-    rows = conversations.select(F.col("conv_id").cast("long"), F.floor(F.col("turn") / SEGMENT).cast("long").alias("segment"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "turn", "role", "text").mapInArrow(run, FORMATTED)
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, FORMATTED)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, read from its formatted segments in order; a segment is held at a time."""
+    """Digests of each conversation, read from its formatted text and spans."""
+
+    def of(conv: int | None, out: str, spans: list[dict]) -> list:
+        texts = [None if x["text_start"] is None else unescape(out[x["text_start"] : x["text_stop"]]) for x in spans]
+        if None in texts:
+            return [conv, len(spans), None, None, None, len(out)]
+        turns, loss = hashlib.sha256(), hashlib.sha256()
+        for span, text in zip(spans, texts, strict=True):
+            turns.update(f"{unescape(span['role'])}\n{text}\n".encode())
+            loss.update(text.encode() if span["loss"] else b"")
+        return [conv, len(spans), turns.hexdigest(), sum(len(t) for x, t in zip(spans, texts, strict=True) if x["loss"]), loss.hexdigest(), len(out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DIGESTS.split(", ")]
-        done: list[list] = []
-        for conv, segments in groupby(_rows(batches), key=lambda r: r[0]):
-            n = loss_chars = chars = 0
-            turns_hash, loss_hash = hashlib.sha256(), hashlib.sha256()
-            for _, _, out, spans in segments:
-                chars += len(out)
-                for span in spans:
-                    text = unescape(out[span["text_start"] : span["text_stop"]])
-                    n += 1
-                    turns_hash.update(f"{unescape(span['role'])}\n{text}\n".encode())
-                    if span["loss"]:
-                        loss_chars += len(text)
-                        loss_hash.update(text.encode())
-            done.append([conv, n, turns_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), chars])
-            if len(done) == 1000:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*done, strict=True), strict=True)), schema=_DIGESTS)
-                done = []
-        if done:
-            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*done, strict=True), strict=True)), schema=_DIGESTS)
-
-    rows = formatted.select("conv_id", "segment", "formatted", "spans")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(run, DIGESTS)
+        for batch in batches:
+            done = [of(*row) for row in _rows([batch])]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in done], schema=_DIGESTS)
+
+    return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, DIGESTS)
 
 
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -163,7 +156,7 @@ TRIAL = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """Format all conversations and the trial one, and read the digests back."""
+    """Format all conversations and the trial one, and read the digests back. Rows of a conv_id of -1 join the trial one."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     trial = conversations.sparkSession.createDataFrame(TRIAL, "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(rows.union(trial)))

@@ -9,7 +9,8 @@ chance to miss one window at that bound is 0.81^64, about one in a million, and
 verified on the shingles themselves, over the whole document.
 
 Defined results: null texts and those of under five words hold no shingle, so they neither match nor contain; equal
-(item_id, text) rows are one item; repeated documents each give their rows. Only doc_id and text, item_id and text are
+(item_id, text) rows are one item; repeated documents each give their rows; an empty benchmark or table gives no row; ties at
+`least` exactly match; texts of any length are read whole. Only doc_id and text, item_id and text are
 read. Items are broadcast in blocks of at most BLOCK rows and BLOCK_CHARS characters; each block is one pass without a
 shuffle, so a larger benchmark means more passes, never a larger broadcast.
 """
@@ -17,6 +18,7 @@ shuffle, so a larger benchmark means more passes, never a larger broadcast.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -24,6 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,12 +153,23 @@ def candidates(each: list[np.ndarray], items: Items) -> set[tuple[int, int]]:
 PAIRS = "doc_id long, item_id long, shared long, shingles long, containment double"
 
 
+_PREPARED: dict[str, Items] = {}
+
+
+def _prepared(name: str, shared: Broadcast) -> Items:
+    """A block's items, made once a worker; one block is held at a time."""
+    if name not in _PREPARED:
+        _PREPARED.clear()
+        _PREPARED[name] = Items(shared.value)
+    return _PREPARED[name]
+
+
 def _search(docs: DataFrame, rows: list[tuple[int, str]], least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    prepared: dict[int, Items] = {}
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = prepared.setdefault(0, Items(shared.value))
+        items = _prepared(name, shared)
         hashes = Hashes()
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):

@@ -21,10 +21,13 @@ from lexigrove.llm.scratch import Scratch
 
 #: Learning takes about this many documents of each language at most (all, where there are fewer), by hash of doc_id.
 SAMPLE = 2000
-#: Words and n-grams below this share of their language's are not kept, so a table has at most 1/SHARE entries.
-SHARE = 2e-5
+#: Words and n-grams seen less often are not kept; what the sample's texts hold bounds the tables.
+OFTEN = 2
+#: What an expression costs in a language that has never shown it: more than the rarest one kept.
+UNSEEN = 6.2
 LONGEST = 5
-REMEMBERED = 300_000
+#: A worker remembers the scores of so many words, and at most so many numbers.
+REMEMBERED, NUMBERS = 300_000, 4 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -33,7 +36,7 @@ def remainder(column: str, by: int) -> Column:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Tables of scores (-log10 of relative frequency) from (doc_id, text, lang), of bounded size by SAMPLE and SHARE."""
+    """Tables of scores (-log10 of relative frequency) from (doc_id, text, lang), of bounded size by SAMPLE."""
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     scratch = Scratch(docs.sparkSession, "language-id")
     # A row per language, written so that its size is known and the texts needn't be dealt by language to meet it.
@@ -51,17 +54,17 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
     pieces = F.concat(*[F.coalesce(cut(k), F.array().cast("array<struct<size:int,gram:string>>")) for k in range(1, LONGEST + 1)])
     grams = words.select("lang", F.explode(pieces).alias("g"), "n").groupBy("lang", "g.size", "g.gram").agg(F.sum("n").alias("n"))
     table = words.union(grams)
-    total = table.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    kept = table.join(total, ["lang", "size"]).where(F.col("n") >= F.greatest(F.lit(2), SHARE * F.col("total")))
+    table = scratch.keep(table, "table")
+    # A row per language and length: written, so its size is known, and broadcast, so no language's rows meet in one task.
+    total = scratch.keep(table.groupBy("lang", "size").agg(F.sum("n").alias("total")), "totals")
+    kept = table.where(F.col("n") >= OFTEN).join(F.broadcast(total), ["lang", "size"])
     found = kept.select("lang", "size", "gram", (-F.log10(F.col("n") / F.col("total"))).alias("score")).toPandas()
     most = total.where("size = 0").toPandas().sort_values(["total", "lang"], ascending=[False, True])
     langs = sorted(most["lang"])
     tables: list[dict[str, tuple]] = [{} for _ in range(LONGEST + 1)]
     at = {name: i for i, name in enumerate(langs)}
-    # An expression that a language has never shown costs more than the rarest one kept.
-    cost = -math.log10(SHARE) + 1.5
     for lang, n, gram, score in found.itertuples(index=False):
-        tables[n].setdefault(gram, [cost] * len(langs))[at[lang]] = score
+        tables[n].setdefault(gram, [UNSEEN] * len(langs))[at[lang]] = score
     return {"langs": langs, "common": at[most["lang"].iloc[0]] if langs else None, "tables": tables}
 
 
@@ -72,7 +75,8 @@ class Scorer:
 
     def forget(self) -> None:
         self.row: dict[str, int] = {}
-        self.rows = np.zeros((REMEMBERED, len(self.langs) + 1))
+        self.most = max(2, min(REMEMBERED, NUMBERS // (len(self.langs) + 1)))
+        self.rows = np.zeros((self.most, len(self.langs) + 1))
 
     def word(self, word: str) -> list[float] | None:
         """Scores by language: of the word if any language has it, else the mean over its known n-grams of the longest length with any."""
@@ -97,9 +101,9 @@ class Scorer:
         if not self.langs or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
             return "und", 0.0
         total = np.zeros(len(self.langs) + 1)
-        for i in range(0, len(words), REMEMBERED // 2):
-            part = words[i : i + REMEMBERED // 2]
-            if len(self.row) + len(part) >= REMEMBERED:
+        for i in range(0, len(words), self.most // 2):
+            part = words[i : i + self.most // 2]
+            if len(self.row) + len(part) >= self.most:
                 self.forget()
             get, miss = self.row.get, self._miss
             total += self.rows[[j if (j := get(w)) is not None else miss(w) for w in part]].sum(axis=0)

@@ -11,10 +11,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests), a folder of this process."""
+    """The session's spark.checkpoint.dir; only where it is unset and all runs in this process (tests), a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = "file://" + tempfile.mkdtemp(prefix="lexigrove-scratch-")
     return _FALLBACK["dir"]

@@ -2,7 +2,8 @@
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other.
 Rows are kept as they come: repeated rows and repeated or null doc_ids each give a row, and a component's id is the
-smallest non-null doc_id in it. Other columns of the input are never read, so clashing names do no harm.
+smallest non-null doc_id in it; an empty table gives an empty one. A text of any length is read whole, in memory of some 100
+bytes a word. Other columns of the input are never read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -141,4 +142,5 @@ def keep_one(docs: DataFrame, distance: int = 4, blocks: int = 7) -> DataFrame:
     if each.where("n > 1").isEmpty():
         return kept
     order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy("text")
-    return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    nth = next(name for i in range(len(docs.columns) + 1) if (name := f"nth{i}") not in docs.columns)
+    return kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)

@@ -22,6 +22,8 @@ from lexigrove.llm.scratch import Scratch
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 PER_FILE = 2000
+#: An archive file has about so many bytes, or one record; pages over LARGE go to files of their own.
+FILE_BYTES, LARGE = 256 << 20, 128 << 10
 
 
 def _url():
@@ -29,7 +31,8 @@ def _url():
 
 
 def write(pages: DataFrame, path: str, scratch: Scratch, least: int = 100, date: str = "2024-01-01T00:00:00Z", per_file: int = PER_FILE) -> None:
-    """Write the archives under `path` (any store Spark writes to), uncompressed, at most `per_file` records a file.
+    """Write the archives under `path` (any store Spark writes to), uncompressed, at most `per_file` records and about FILE_BYTES
+    a file: pages over LARGE are written apart, so many to a file as fit if all are as long as the longest.
 
     Each row becomes one string, header, blank line and block; the text writer's line separator is the blank pair of
     lines that ends a WARC record. Only digests of repeated payloads are joined to the pages. That join is on equal
@@ -56,7 +59,11 @@ def write(pages: DataFrame, path: str, scratch: Scratch, least: int = 100, date:
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length("block").cast("string")),
     )
-    rows.withColumn("block", block).select(F.concat(header, F.lit(CRLF), F.col("block"))).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+    rows = rows.withColumn("block", block).withColumn("record", F.concat(header, F.lit(CRLF), F.col("block")))
+    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    for name, some, most in (("small", F.col("n") <= LARGE, LARGE), ("large", F.col("n") > LARGE, longest)):
+        if longest > LARGE or name == "small":
+            rows.where(some).select("record").write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", max(1, min(per_file, FILE_BYTES // (most + 2048)))).text(f"{path}/{name}")
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -158,23 +165,34 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records and gaps of all archives under `path`, plain or gzip, columns as in READ. One file is one Python value."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read_batches, READ)
+    """Records and gaps of all archives under `path`, plain or gzip, columns as in READ. One file is one Python value, and so is
+    what a gzip member inflates to."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(_read_batches, READ)
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Write `pages` and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write `pages` and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to. Raises if the
+    reader had to quarantine any bytes, or if a revisit's length and digest are not those of the response it refers to."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     path = scratch.path("archives")
     write(pages, path, scratch)
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:x-page:(-?[0-9]+)>$', 1) as bigint)")
     again = F.col("record_type") == "revisit"
-    rows = read(spark, path).where("gap is null")
-    return rows.select(
+    rows = read(spark, path).select(
+        "file", "offset", "gap",
         page("record_id").alias("page_id"),
         F.when(again, F.col("declared_bytes")).otherwise(F.length("payload")).cast("long").alias("payload_bytes"),
         F.when(again, F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
         "record_type",
         F.when(again, page("refers_to")).alias("refers_to"),
-    )
+    )
+    rows = scratch.keep(rows, "records")
+    if lost := rows.where("gap is not null").select("file", "offset", "gap").head(5):
+        raise ValueError(f"bytes that belong to no record: {[tuple(x) for x in lost]}")
+    rows = rows.drop("file", "offset", "gap")
+    claims = rows.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_bytes", "payload_digest").distinct()
+    responses = rows.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest")
+    if wrong := claims.join(responses, ["page_id", "payload_bytes", "payload_digest"], "left_anti").head(5):
+        raise ValueError(f"revisits of other payloads than they name: {[tuple(x) for x in wrong]}")
+    return rows

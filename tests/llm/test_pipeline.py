@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -43,7 +44,7 @@ def test_against_sql(spark, name):
     for file in os.listdir(DATA):
         con.sql(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{DATA}/{file}'")
     ours, theirs = queries.QUERIES[name](spark, DATA).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
-    plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if pd.api.types.is_scalar(v) and pd.isna(v) else v.item() if hasattr(v, "item") else v
     rows = lambda f: sorted(repr([None if x is None else float(x) if isinstance(x, (int, float)) else x for x in map(plain, r)]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
     assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours) == rows(theirs)
 

@@ -160,6 +160,21 @@ def test_chat_digests(spark):
     assert set(got) == {1, 2, 3, 4, None, -1} and {r[0] for r in chat.digests(df.where("false")).collect()} == {-1}
 
 
+def test_chat_long_conversations(spark):
+    """Over 64 turns, formatted as the template does with the whole conversation, and read back where nothing is altered."""
+    turns = [("assistant" if t % 2 else "user", f"think {t}\n\nsay {t}" if t % 2 else f"ask {t}") for t in range(130)]
+    df = spark.createDataFrame([(1, t, r, x) for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    kept = chat.format_conversations(df, chat.chatml)
+    row, back = kept.first(), chat.read_back(kept).first()
+    assert row["formatted"] == chat.chatml(turns) and row["rewrites_at"] is None and len(row["spans"]) == 130
+    assert back["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+    cut = chat.format_conversations(df, chat.last_answer_only)
+    row, back = cut.first(), chat.read_back(cut).first()
+    assert row["formatted"] == chat.last_answer_only(turns) and row["rewrites_at"] == 2
+    assert [s["loss"] for s in row["spans"]] == [t == 129 for t in range(130)]
+    assert back["turns_sha256"] is None and back["loss_sha256"] is None and back["n_turns"] == 130
+
+
 def test_warc(spark):
     big, small = "<html>" + "é" * 100 + "WARC/1.0\r\n", "<p>"
     rows = [(3, "http://a", big), (1, "http://b c", big), (2, None, small), (5, "x", small), (6, "y", None), (7, "z", ""), (None, "n", big), (1, "again", big)]
@@ -172,6 +187,8 @@ def test_warc(spark):
         want.append(repr((i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", 1 if again else None)))
     assert got == sorted(want)
     assert warc.archive(df.where("false")).count() == 0
+    large = spark.createDataFrame([(1, "a", "x" * 300_000), (2, "b", "x" * 300_000), (3, "c", "small")], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in warc.archive(large).collect()) == [(1, 300_000, None), (2, 300_000, 1), (3, 5, None)]
 
 
 def record(body, kind="response", digest=True):
