@@ -3,13 +3,15 @@
 A text is cut at blank lines into sections, those at line ends into paragraphs, those into pieces of PIECE code points.
 Cutting loses nothing, so equal roots mean equal texts. A fingerprint is written as
 
-    root:section;section;...   with section = paragraph,paragraph,...   and paragraph = piece digests run together
+    root:section;section;...   section = digest=paragraph,paragraph,...   paragraph = digest.pieces run together
 
-where a piece digest is the first 8 hex digits of its MD5, and the root the MD5 of the sections' digests, each the MD5 of
-its paragraphs' digests, each the MD5 of its pieces'. Inner digests follow from the pieces and so aren't written. Two
-trees are compared from the root down: equal branches are equal texts, and the pieces of differing ones locate edits.
+A piece's digest is its MD5, a paragraph's the MD5 of its pieces', a section's that of its paragraphs', the root that of the
+sections', all of them full; what is written below the root are the first 8 hex digits of each. Two trees are compared from
+the root down: equal roots are equal texts; equal sections, then equal paragraphs of the others, count whole; pieces are only
+compared in paragraphs that differ, which is where the edits are.
 
-Defined results: a null text counts as empty and has one empty piece; repeated rows each give a row. Null doc_ids stand
+Defined results: a null text counts as empty and has one empty piece; an empty table gives an empty one; a text of any length
+is one tree, a quarter longer than itself; repeated rows each give a row. Null doc_ids stand
 first in the order of doc_id, in the place of the least long, which is no doc_id; rows that repeat a doc_id share their successor, and where the successor's doc_id is
 repeated, its least text counts. Only doc_id and text are read.
 """
@@ -39,38 +41,67 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 def fingerprint(text: Column, piece: int = PIECE) -> Column:
     """The fingerprint of one text, as a string."""
     leaf = lambda p: F.when(p == "", F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(f"(?s)(.{{1,{piece}}})"), 1))
-    leaves = lambda p: F.array_join(F.transform(leaf(p), lambda x: F.substring(_digest(x), 1, 8)), "")
-    sections = F.transform(F.split(text, "\n\n"), lambda s: F.array_join(F.transform(F.split(s, "\n"), leaves), ","))
-    return _once(sections, lambda x: F.concat_ws(":", root(x), F.array_join(x, ";")))
+    short = lambda c: F.substring(c, 1, 8)
 
+    def branch(digests: Column, written: Column) -> Column:
+        """A node over its children's digests, and how it is written."""
+        return F.struct(_digest(F.array_join(digests, "")).alias("digest"), written.alias("written"))
 
-def root(sections: Column) -> Column:
-    """The root over sections, each written as its paragraphs' pieces."""
-    branch = lambda s: _digest(F.array_join(F.transform(F.split(s, ","), _digest), ""))
-    return _digest(F.array_join(F.transform(sections, branch), ""))
+    def paragraph(p: Column) -> Column:
+        return _once(F.transform(leaf(p), _digest), lambda x: branch(x, F.array_join(F.transform(x, short), "")))
 
+    def over(nodes: Column, mark: str, between: str) -> Column:
+        shown = F.transform(nodes, lambda n: F.concat(short(n["digest"]), F.lit(mark), n["written"]))
+        return branch(F.transform(nodes, lambda n: n["digest"]), F.array_join(shown, between))
 
-def pieces(fp: Column) -> Column:
-    """The distinct piece digests of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(F.substring(fp, 34, 2**31 - 1), F.lit("([0-9a-f]{8})"), 1))
+    section = lambda s: _once(F.transform(F.split(s, "\n"), paragraph), lambda x: over(x, ".", ","))
+    tree = _once(F.transform(F.split(text, "\n\n"), section), lambda x: over(x, "=", ";"))
+    return _once(tree, lambda t: F.concat(t["digest"], F.lit(":"), t["written"]))
+
+
+def _below(fp: Column) -> Column:
+    return F.split(F.substring(fp, 34, 2**31 - 1), ";")
+
+
+def _paragraphs(sections: Column) -> Column:
+    return F.flatten(F.transform(sections, lambda s: F.split(F.substring(s, 10, 2**31 - 1), ",")))
+
+
+def _size(paragraphs: Column) -> Column:
+    """How many pieces paragraphs have."""
+    return F.aggregate(paragraphs, F.lit(0), lambda n, p: n + ((F.length(p) - 9) / 8).cast("int"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 where the roots agree, else the Dice coefficient of the distinct pieces, under 1."""
-    dice = _once(F.struct(pieces(a).alias("x"), pieces(b).alias("y")), lambda p: 2.0 * F.size(F.array_intersect(p["x"], p["y"])) / (F.size(p["x"]) + F.size(p["y"])))
-    return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), F.lit(1.0)).otherwise(dice)
+    """1 where the roots agree; else 2 c / (2 c + x + y), under 1, where c counts the pieces of distinct common sections, of
+    distinct common paragraphs of the other sections, and the distinct common pieces of the other paragraphs, x and y the
+    distinct pieces that only one has."""
+    both = lambda x, y: F.struct(F.array_intersect(x, y).alias("common"), F.array_except(x, y).alias("a"), F.array_except(y, x).alias("b"))
+    pieces = lambda paragraphs: F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substring(p, 10, 2**31 - 1), F.lit("([0-9a-f]{8})"), 1)))
+
+    def leaves(whole: Column, x: Column, y: Column) -> Column:
+        common = whole + F.size(F.array_intersect(x, y))
+        return 2.0 * common / (2 * common + F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+
+    def paragraphs(whole: Column, x: Column, y: Column) -> Column:
+        return _once(both(x, y), lambda p: _once(F.struct((whole + _size(p["common"])).alias("whole"), pieces(p["a"]).alias("x"), pieces(p["b"]).alias("y")), lambda q: leaves(q["whole"], q["x"], q["y"])))
+
+    sections = _once(both(_below(a), _below(b)), lambda s: _once(F.struct(_size(_paragraphs(s["common"])).alias("whole"), _paragraphs(s["a"]).alias("x"), _paragraphs(s["b"]).alias("y")), lambda q: paragraphs(q["whole"], q["x"], q["y"])))
+    return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), F.lit(1.0)).otherwise(sections)
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
     """array<struct<section, paragraph>>, counted from 0: the paragraphs of `a` that `b` lacks at that place."""
-    of = lambda fp: F.split(F.substring(fp, 34, 2**31 - 1), ";")
+    none = F.expr("array()").cast("array<struct<section:int,paragraph:int>>")
 
-    def inside(section: Column, i: Column) -> Column:
-        other = F.split(F.coalesce(F.get(of(b), i), F.lit("")), ",")
-        each = F.transform(F.split(section, ","), lambda p, j: F.when(~p.eqNullSafe(F.get(other, j)), F.struct(i.alias("section"), j.alias("paragraph"))))
-        return F.when(section.eqNullSafe(F.get(of(b), i)), F.expr("array()").cast("array<struct<section:int,paragraph:int>>")).otherwise(F.filter(each, lambda x: x.isNotNull()))
+    def inside(section: Column, i: Column, other: Column) -> Column:
+        of = lambda s: F.split(F.substring(s, 10, 2**31 - 1), ",")
+        there = of(F.coalesce(other, F.lit("")))
+        each = _once(there, lambda t: F.transform(of(section), lambda p, j: F.when(~p.eqNullSafe(F.get(t, j)), F.struct(i.alias("section"), j.alias("paragraph")))))
+        return F.when(section.eqNullSafe(other), none).otherwise(F.filter(each, lambda x: x.isNotNull()))
 
-    return F.flatten(F.transform(of(a), inside))
+    changed = _once(_below(b), lambda others: F.flatten(F.transform(_below(a), lambda s, i: inside(s, i, F.get(others, i)))))
+    return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), none).otherwise(changed)
 
 
 def _successors(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -88,7 +119,8 @@ def _successors(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprint every text and its edited text: the last n_chars div 4 code points replaced by as many from the start
-    of the next document. Columns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    of the next document. Columns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and changed: how many
+    paragraphs of the edited text the tree shows to differ.
 
     Two exchanges: the texts once by doc_id, and to each predecessor the start and the fingerprint of its successor.
     """
@@ -102,4 +134,4 @@ def compare(docs: DataFrame) -> DataFrame:
     both = rows.join(sent, "key").withColumn("doc_id", F.nullif("key", F.lit(_FIRST)))
     both = both.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - length(text) div 4)"), F.expr("substring(successor.start, 1, cast(length(text) div 4 as int))")).alias("edited"), "text", F.col("successor.fp").alias("next_fp"))
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fp")
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"))
+    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"), F.size(changed_paragraphs(F.col("edited_fingerprint"), F.col("fingerprint"))).cast("long").alias("changed"))

@@ -69,20 +69,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-def _sections(text: str) -> str:
-    leaf = f"array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,{merkle.PIECE}}}'), lambda x: left(md5(x), 8)), '')"
-    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda p: CASE WHEN p = '' THEN left(md5(''), 8) ELSE {leaf} END), ','))"
+def _tree(text: str) -> str:
+    """(digest, written) of a text's Merkle tree."""
+    leaves = f"CASE WHEN p = '' THEN [md5('')] ELSE list_transform(regexp_extract_all(p, '(?s).{{1,{merkle.PIECE}}}'), lambda x: md5(x)) END"
+    node = lambda children: f"{{'d': md5(array_to_string(list_transform({children}, lambda kid: kid.d), '')), 'kids': {children}}}"
+    paragraphs = f"list_transform(string_split(s, chr(10)), lambda p: {{'d': md5(array_to_string({leaves}, '')), 'w': array_to_string(list_transform({leaves}, lambda x: left(x, 8)), '')}})"
+    sections = f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {node(paragraphs)})"
+    return node(sections)
 
 
-def _written(sections: str) -> str:
-    return f"md5(array_to_string(list_transform({sections}, lambda s: md5(array_to_string(list_transform(string_split(s, ','), lambda q: md5(q)), ''))), '')) || ':' || array_to_string({sections}, ';')"
+def _written(tree: str) -> str:
+    return f"{tree}.d || ':' || array_to_string(list_transform({tree}.kids, lambda sec: left(sec.d, 8) || '=' || array_to_string(list_transform(sec.kids, lambda par: left(par.d, 8) || '.' || par.w), ',')), ';')"
 
 
-def _like(a: str, b: str) -> str:
-    x, y = (f"list_distinct(regexp_extract_all(substring({c}, 34), '[0-9a-f]{{8}}'))" for c in (a, b))
-    return f"CASE WHEN left({a}, 32) = left({b}, 32) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+def _only(x: str, y: str) -> str:
+    return f"list_filter({x}, lambda v: NOT list_contains({y}, v))"
 
 
+def _pieces(paragraphs: str) -> str:
+    return f"flatten(list_transform({paragraphs}, lambda p: regexp_extract_all(substring(p, 10), '[0-9a-f]{{8}}')))"
+
+
+def _near(name: str, a: str, b: str) -> str:
+    """Steps (CTEs) from columns a and b of `f` to a table `name` of (doc_id, near)."""
+    below = lambda c: f"list_distinct(string_split(substring({c}, 34), ';'))"
+    paragraphs = lambda c: f"list_distinct(flatten(list_transform({c}, lambda s: string_split(substring(s, 10), ','))))"
+    size = lambda c: f"coalesce(list_sum(list_transform({c}, lambda p: (length(p) - 9) // 8)), 0)"
+    return f"""
+        {name}1 AS (SELECT doc_id, left({a}, 32) = left({b}, 32) AS same, {below(a)} AS x, {below(b)} AS y FROM f),
+        {name}2 AS (SELECT doc_id, same, flatten(list_transform(list_intersect(x, y), lambda s: string_split(substring(s, 10), ','))) AS whole, {paragraphs(_only("x", "y"))} AS x, {paragraphs(_only("y", "x"))} AS y FROM {name}1),
+        {name}3 AS (SELECT doc_id, same, {size("whole")} + {size("list_intersect(x, y)")} AS whole, list_distinct({_pieces(_only("x", "y"))}) AS x, list_distinct({_pieces(_only("y", "x"))}) AS y FROM {name}2),
+        {name} AS (SELECT doc_id, CASE WHEN same THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (whole + len(list_intersect(x, y))) / (2 * (whole + len(list_intersect(x, y))) + len({_only("x", "y")}) + len({_only("y", "x")})) END AS near FROM {name}3)"""
+
+
+_CHANGED = """
+        ps AS (SELECT doc_id, 'e' AS k, unnest(string_split(substring(fb, 34), ';')) AS s, generate_subscripts(string_split(substring(fb, 34), ';'), 1) AS i FROM f
+          UNION ALL SELECT doc_id, 't', unnest(string_split(substring(fa, 34), ';')), generate_subscripts(string_split(substring(fa, 34), ';'), 1) FROM f),
+        pp AS (SELECT doc_id, k, i, unnest(string_split(substring(s, 10), ',')) AS p, generate_subscripts(string_split(substring(s, 10), ','), 1) AS j FROM ps),
+        ch AS (SELECT e.doc_id, count(*) AS changed FROM (SELECT * FROM pp WHERE k = 'e') e LEFT JOIN (SELECT * FROM pp WHERE k = 't') t ON e.doc_id = t.doc_id AND e.i = t.i AND e.j = t.j WHERE t.p IS DISTINCT FROM e.p GROUP BY ALL)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": """
         WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
@@ -97,10 +122,10 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         n AS (SELECT *, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM d),
         e AS (SELECT *, left(text, n - n // 4) || left(next, n // 4) AS edited FROM n),
-        s AS (SELECT *, {_sections("text")} AS a, {_sections("edited")} AS b, {_sections("next")} AS c FROM e),
-        f AS (SELECT *, {_written("a")} AS fa, {_written("b")} AS fb, {_written("c")} AS fc FROM s)
-        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_like("fa", "fb")} AS near_edited, {_like("fa", "fc")} AS near_next
-        FROM f""",
+        s AS (SELECT *, {_tree("text")} AS a, {_tree("edited")} AS b, {_tree("next")} AS c FROM e),
+        f AS (SELECT *, {_written("a")} AS fa, {_written("b")} AS fb, {_written("c")} AS fc FROM s), {_near("ne", "fa", "fb")}, {_near("nn", "fa", "fc")}, {_CHANGED}
+        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, ne.near AS near_edited, nn.near AS near_next, coalesce(changed, 0) AS changed
+        FROM f JOIN ne USING (doc_id) JOIN nn USING (doc_id) LEFT JOIN ch USING (doc_id)""",
     "op6_license_scan": licences.sql(),
     "op8_chat_formatting": r"""
         WITH c AS (
