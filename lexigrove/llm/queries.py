@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrove.llm import bpe, chat, decontaminate, language_id, licences, lines, merkle, simhash, toxicity, warc
+from lexigrove.llm import bpe, chat, decontaminate, language_id, licences, lines, merkle, simhash, toxicity, vector_codes, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,6 +56,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -67,8 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_vector_codes": op11_vector_codes,
 }
 
+
 def _tree(text: str) -> str:
     """(digest, written) of a text's Merkle tree."""
     leaves = f"CASE WHEN p = '' THEN [md5('')] ELSE list_transform(regexp_extract_all(p, '(?s).{{1,{merkle.PIECE}}}'), lambda x: md5(x)) END"
@@ -149,4 +155,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
         FROM f""",
+    "op11_vector_codes": vector_codes.sql(),
 }
