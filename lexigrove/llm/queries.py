@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrove.llm import bpe, chat, decontaminate, language_id, licences, lines, merkle, simhash, toxicity, vector_codes, warc
+from lexigrove.llm import bpe, chat, decontaminate, language_id, licences, lines, merkle, quality, simhash, toxicity, vector_codes, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -60,6 +60,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
     "op11_vector_codes": op11_vector_codes,
+    "op12_quality": op12_quality,
 }
 
 
