@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrove.llm import bpe, chat, decontaminate, language_id, licences, lines, merkle, quality, simhash, toxicity, vector_codes, warc
+from lexigrove.llm import bpe, chat, decontaminate, language_id, lexical, licences, lines, merkle, quality, simhash, toxicity, vector_codes, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -64,6 +64,10 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_vector_codes": op11_vector_codes,
     "op12_quality": op12_quality,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 
@@ -161,4 +166,15 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
         FROM f""",
     "op11_vector_codes": vector_codes.sql(),
+    "op13_ranked_search": """
+        WITH cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+        d AS (SELECT r, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM cut WHERE len(t) > 0),
+        total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM d),
+        tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+        score AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // tokens)))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (r), total GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }
