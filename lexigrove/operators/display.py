@@ -20,12 +20,14 @@ def bm25_label(rank: Column) -> Column:
 
 
 def ranked_rows(results: DataFrame, algorithm: str = "cosine") -> DataFrame:
-    """(rank, doc_id, score, confidence, details) as text, the first 15, and a row `...` that says how many more."""
+    """(rank, doc_id, score, confidence, details) as text, the first 15, and a row `...` that says how many more; no results
+    give one row that says so."""
     label = cosine_label(F.col("score")) if algorithm == "cosine" else bm25_label(F.col("rank"))
     shown = F.format_string("%.4f", "score")
     rows = results.where(F.col("rank") <= SHOWN).select("rank", F.col("rank").cast("string").alias("place"), F.col("doc_id").cast("string").alias("doc_id"), shown.alias("score"), label.alias("confidence"), F.concat(F.lit("Score: "), shown).alias("details"))
     more = results.agg((F.count("*") - SHOWN).alias("n")).where("n > 0").select(F.lit(SHOWN + 1).alias("rank"), F.lit("...").alias("place"), F.concat(F.lit("+"), F.col("n").cast("string")), F.lit(""), F.lit(""), F.lit(""))
-    return rows.union(more)
+    none = results.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1).alias("rank"), F.lit("1").alias("place"), F.lit("Aucun").alias("doc_id"), F.lit("0.0000").alias("score"), F.lit("-").alias("confidence"), F.lit("Aucun résultat").alias("details"))
+    return rows.union(more).union(none)
 
 
 def boolean_rows(index: Index, results: DataFrame, query: str) -> DataFrame:

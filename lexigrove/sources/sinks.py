@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,43 @@ from lexigrove.functions.analysis import Profile
 from lexigrove.operators.index import Index
 
 
+def join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """One file at `path` of the part files of `folder`, in the order of their names. The store's file system moves the bytes: by
+    concat, where it can, else as one stream from part to part. Nothing is collected, and no task writes the whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    source = jvm.org.apache.hadoop.fs.Path(folder)
+    store = source.getFileSystem(conf)
+    parts = sorted((x.getPath() for x in store.listStatus(source) if x.isFile() and not x.getPath().getName().startswith(("_", "."))), key=lambda x: x.getName())
+    if store.getScheme() == "hdfs" and len(parts) > 1:
+        array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+        for i, part in enumerate(parts[1:]):
+            array[i] = part
+        store.concat(parts[0], array)
+        store.rename(parts[0], tmp)
+    else:
+        out = store.create(tmp)
+        for part in parts:
+            piece = store.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, conf, False)
+            piece.close()
+        out.close()
+    store.delete(to, True)
+    store.rename(tmp, to)
+
+
+def save_lines(lines: DataFrame, path: str, one_file: bool = False) -> None:
+    """The one column of `lines`, in order: a folder of text files whose names are in order, or one file."""
+    if not one_file:
+        lines.write.mode("overwrite").text(path)
+        return
+    spark, parts = lines.sparkSession, f"{path}.{uuid.uuid4().hex}.parts"
+    lines.write.text(parts)
+    join_parts(spark, parts, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(parts)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def index_lines(postings: DataFrame) -> DataFrame:
     """(term, number, id, line): for each term `term:df` and below it a tab-led `doc: p1,p2` per document."""
     each = postings.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("p"))
@@ -18,9 +57,9 @@ def index_lines(postings: DataFrame) -> DataFrame:
     return docs.union(terms).select("term", "x.number", "x.id", "x.line")
 
 
-def save_index(postings: DataFrame, path: str) -> None:
-    """The dump as text files whose names and lines are in order; terms sort by code point, documents by number."""
-    index_lines(postings).orderBy("term", "number", "id").select("line").write.mode("overwrite").text(path)
+def save_index(postings: DataFrame, path: str, one_file: bool = False) -> None:
+    """The dump in order, as text files or one; terms sort by code point, documents by number."""
+    save_lines(index_lines(postings).orderBy("term", "number", "id").select("line"), path, one_file)
 
 
 def save_postings(postings: DataFrame, path: str) -> None:
@@ -49,13 +88,13 @@ def load_index(spark: SparkSession, path: str, profile: Profile) -> Index:
     return at
 
 
-def save_boolean_results(results: DataFrame, path: str) -> None:
+def save_boolean_results(results: DataFrame, path: str, one_file: bool = False) -> None:
     """`qid,doc`, by number; ids that are no numbers come last."""
     keys = [F.expr("try_cast(qid AS BIGINT)").asc_nulls_last(), F.col("qid"), F.expr("try_cast(doc_id AS BIGINT)").asc_nulls_last(), F.col("doc_id")]
-    results.orderBy(*keys).select(F.concat_ws(",", F.col("qid").cast("string"), F.col("doc_id").cast("string"))).write.mode("overwrite").text(path)
+    save_lines(results.orderBy(*keys).select(F.concat_ws(",", F.col("qid").cast("string"), F.col("doc_id").cast("string"))), path, one_file)
 
 
-def save_ranked_results(results: DataFrame, path: str) -> None:
+def save_ranked_results(results: DataFrame, path: str, one_file: bool = False) -> None:
     """`qid,doc,score` with four decimals, by query number and rank."""
     keys = [F.expr("try_cast(qid AS BIGINT)").asc_nulls_last(), F.col("qid"), F.col("rank")]
-    results.orderBy(*keys).select(F.concat_ws(",", F.col("qid").cast("string"), F.col("doc_id").cast("string"), F.format_string("%.4f", "score"))).write.mode("overwrite").text(path)
+    save_lines(results.orderBy(*keys).select(F.concat_ws(",", F.col("qid").cast("string"), F.col("doc_id").cast("string"), F.format_string("%.4f", "score"))), path, one_file)

@@ -9,9 +9,20 @@ from pyspark.sql.utils import AnalysisException
 from lexigrove.functions.analysis import normalize, strip_article
 
 
+SEQ = "struct<file:string,start:long,at:long>"
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, seq): lines with their place: file by path, the byte at which the reader's range starts, and the number in it. Spark
+    reads a range from its start, but larger files before smaller ones, so the number alone doesn't order lines of several files."""
+    m = F.col("_metadata")
+    seq = F.struct(m["file_path"].alias("file"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select(F.col("value").alias("line"), seq.alias("seq"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, seq): stripped lines in file order."""
-    return spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("line"), F.monotonically_increasing_id().alias("seq"))
+    """lines(), stripped."""
+    return lines(spark, path).select(F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line"), "seq")
 
 
 def _last(rows: DataFrame, *keys: str) -> DataFrame:
@@ -26,7 +37,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     try:
         rows = _lines(spark, path)
     except AnalysisException:
-        return spark.createDataFrame([], "qid string, text string, seq long")
+        return spark.createDataFrame([], f"qid string, text string, seq {SEQ}")
     rows = rows.where((F.col("line") != "") & ~F.col("line").startswith("#") & F.col("line").contains(" "))
     parts = F.split("line", " ", 2)
     return _last(rows.select(parts[0].alias("qid"), parts[1].alias("text"), "seq"), "qid")
