@@ -1,7 +1,7 @@
 """The analysis chain, normalise, tokenise, strip, stop and stem, as column expressions.
 
-Everything up to stemming stays in the JVM. Stemming is one Python function on the dictionary of distinct tokens
-(see stemmed()), so it runs once per token, not once per occurrence.
+The whole chain stays in the JVM. Stemming, a longer one, runs on the dictionary of distinct tokens (see stemmed()), so once per
+token and not once per occurrence.
 """
 
 from __future__ import annotations
@@ -108,36 +108,29 @@ def stemmed(tokens: DataFrame, column: str, profile: Profile, to: str = "term")
     """
     if not profile.stems:
         return tokens.withColumn(to, F.col(column))
-    guarded = profile.protect and bool(profile.protected)
+    words = tokens.select(F.col(column).alias("__token")).distinct()
+    found = _chosen(words.withColumn("__stem", stem(F.col("__token"))), "__token", profile)
+    return tokens.join(found.select("__token", F.col("__term").alias(to)), F.col(column) == F.col("__token")).drop("__token")
 
-    @F.pandas_udf("string")
-    def stems(words):
-        return words.map(stem)
 
-    words = tokens.select(F.col(column).alias("__token")).distinct()
-    found = words.withColumn("__stem", stems("__token"))
-    least = 2 if guarded else 1
-    chosen = F.when(F.length("__stem") >= least, F.col("__stem")).otherwise(F.col("__token"))
-    if guarded:
-        chosen = F.when(is_protected(F.col("__token"), profile), F.col("__token")).otherwise(chosen)
-    return tokens.join(found.select("__token", chosen.alias(to)), F.col(column) == F.col("__token")).drop("__token")
+def _chosen(words: DataFrame, column: str, profile: Profile) -> DataFrame:
+    """`words` (column, __stem) with __term: the stem, or the token where that stays."""
+    guarded = profile.protect and bool(profile.protected)
+    long_enough = F.length("__stem") >= (2 if guarded else 1)
+    stays = is_protected(F.col(column), profile) if guarded else F.lit(False)
+    return words.withColumn("__term", F.when(~stays & long_enough, F.col("__stem")).otherwise(F.col(column)))
 
 
 def analyze_texts(spark: SparkSession, texts: list[str], profile: Profile) -> list[list[str]]:
     """The terms of a few short texts, such as the operands of a query; the same chain as for documents."""
     if not texts:
         return []
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    flagged = rows.select("i", F.transform(analyze(F.col("text"), profile), lambda t: F.struct(t.alias("t"), is_protected(t, profile).alias("p"))).alias("terms")).orderBy("i").collect()
-    guarded = profile.protect and bool(profile.protected)
-
-    def term(token: str, kept: bool) -> str:
-        if not profile.stems or (guarded and kept):
-            return token
-        found = stem(token)
-        return found if len(found) >= (2 if guarded else 1) else token
-
-    return [[term(x["t"], x["p"]) for x in row["terms"]] for row in flagged]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", F.posexplode(analyze(F.col("text"), profile)).alias("at", "__token"))
+    rows = _chosen(rows.withColumn("__stem", stem(F.col("__token"))), "__token", profile) if profile.stems else rows.withColumn("__term", F.col("__token"))
+    out: list[list[str]] = [[] for _ in texts]
+    for r in rows.select("i", "at", "__term").orderBy("i", "at").collect():
+        out[r["i"]].append(r["__term"])
+    return out
 
 
 analyze_for_indexing = analyze
