@@ -39,7 +39,10 @@ def asked(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     are joined to it; no others are aggregated."""
     few = [r["term"] for r in terms.select("term").distinct().limit(FILTERED + 1).collect()]
     rows = index.only(few) if len(few) <= FILTERED else index.postings.join(terms.select("term"), "term", "left_semi")
-    tf = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    if index.stored:
+        tf = index.tf.where(F.col("term").isin(few)) if len(few) <= FILTERED else index.tf.join(terms.select("term"), "term", "left_semi")
+    else:
+        tf = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     return tf, index.term_stats if index.stored else tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -55,16 +58,21 @@ def top(scores: DataFrame, k: int, key: Column | None = None) -> DataFrame:
 
 def cosine_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(qid, doc_id, doc_seq, raw, score): cosine clamped to [0, 1], and the same over the query's best; positive only."""
-    terms = small(query_terms(queries, index.profile))
+    terms = query_terms(queries, index.profile)
+    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    near = F.broadcast if few else lambda rows: rows
+    terms = near(terms)
     tf, df = asked(index, terms)
     idf = F.log10(F.lit(float(index.n_docs)) / F.col("df"))
     weighted = df.join(terms, "term").select("qid", "term", "df", (log_tf(F.col("qtf")) * idf).alias("wq"))
     lengths = weighted.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
     dots = tf.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * log_tf(F.col("tf")) * idf).alias("dot"))
     raw = F.col("dot") / (F.when(F.col("qnorm") == 0, 1.0).otherwise(F.col("qnorm")) * F.col("norm"))
-    rows = dots.join(lengths, "qid").join(index.norms, "doc_id").withColumn("raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
+    rows = dots.join(near(lengths), "qid").join(index.norms, "doc_id").withColumn("raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
     rows = rows.where("raw > 0").join(index.documents, "doc_id")
-    return rows.select("qid", "doc_id", "doc_seq", "raw", (F.col("raw") / F.max("raw").over(Window.partitionBy("qid"))).alias("score"))
+    # A query's best is a maximum that tasks find of their own rows first: a row for each query, no more than terms are, beside its results.
+    best = rows.groupBy("qid").agg(F.max("raw").alias("best"))
+    return rows.join(near(best), "qid").select("qid", "doc_id", "doc_seq", "raw", (F.col("raw") / F.col("best")).alias("score"))
 
 
 def bm25_scores(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:

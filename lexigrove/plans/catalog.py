@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import DIGITS, LATIN, Profile
-from lexigrove.operators import boolean, display, evaluation, index, ranking
+from lexigrove.operators import boolean, display, evaluation, index, packed, ranking
 from lexigrove.sources import workspace
-from lexigrove.sources.sinks import index_lines, load_index, save_stored_index
+from lexigrove.sources.sinks import index_lines
 
 STOP = ("a", "an", "and", "de", "in", "la", "of", "on", "the", "to")
 STOPPED = LATIN.with_lexicons(stopwords=STOP)
@@ -46,18 +46,30 @@ def built(spark: SparkSession, sf_dir: str, profile: Profile = LATIN) -> index.I
     return index.build_index(corpus(spark, sf_dir), profile, "doc_id", "text")
 
 
-#: Where this process has stored an index, by session, tables and profile.
-_STORED: dict[tuple, str] = {}
+#: Where this process has stored an index, by session, tables and profile, and the files it was made of.
+_STORED: dict[tuple, tuple[str, tuple]] = {}
 
 
-def indexed(spark: SparkSession, sf_dir: str, profile: Profile = LATIN) -> index.Index:
-    """The index of a corpus, built and stored when a session first asks for it and read back from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir, profile)
-    if key not in _STORED:
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of each of a table's files, as the store lists them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
+
+
+def indexed(spark: SparkSession, sf_dir: str, profile: Profile = LATIN, of: Callable[[SparkSession, str], DataFrame] = corpus) -> packed.StoredIndex:
+    """The index of a corpus, built and stored when a session first asks for it and read back until the table's files change; the
+    replaced one is deleted."""
+    key, files = (spark.sparkContext.applicationId, sf_dir, profile, of.__module__), _files(spark, f"{sf_dir}/documents.parquet")
+    path, made_of = _STORED.get(key, (None, None))
+    if made_of != files:
+        if path:
+            old = spark._jvm.org.apache.hadoop.fs.Path(path)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         path = workspace.fresh(spark, "index")
-        save_stored_index(built(spark, sf_dir, profile), path)
-        _STORED[key] = path
-    return load_index(spark, _STORED[key], profile)
+        packed.store(of(spark, sf_dir), profile, path, "doc_id", "text")
+        _STORED[key] = path, files
+    return packed.load(spark, path, profile)
 
 
 _TOKENS = "tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents)"
@@ -179,8 +191,8 @@ def postings_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds and stores the index anew; one row of its totals."""
     path = workspace.fresh(spark, "index")
-    save_stored_index(built(spark, sf_dir), path)
-    at = load_index(spark, path, LATIN)
+    packed.store(corpus(spark, sf_dir), LATIN, path, "doc_id", "text")
+    at = packed.load(spark, path, LATIN)
     return at.doc_stats.agg(F.count("*").alias("documents"), F.sum("dl").alias("tokens")).join(at.term_stats.agg(F.count("*").alias("terms")))
 
 
@@ -264,6 +276,11 @@ def batch_ranked_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_ranked(spark, sf_dir, "bm25", RANKED))
 
 
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch again, unpacking only blocks that can hold a result."""
+    return _shown(packed.rank_bm25(indexed(spark, sf_dir), ranking.queries_frame(spark, RANKED), 10, key=F.round("score", 9)))
+
+
 def batch_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boolean.search_many(indexed(spark, sf_dir), BOOLEAN)
 
@@ -302,7 +319,7 @@ _BLOCKS = "[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿0-9]"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (tokens_digits, postings_latin, index_build, postings_stopped, term_df, doc_length, tf, tfidf_weights, doc_norms, collection_stats, lookups, documents_with_term, foreign_terms, arabic_only_terms, top_terms, rare_terms, index_dump_lines, bm25_top10, bm25_dup_query_term, cosine_top10, batch_ranked, batch_ranked_bm25, batch_boolean, confidence_cosine, confidence_bm25, result_summary, display_boolean, eval_metrics)
+    for f in (tokens_digits, postings_latin, index_build, postings_stopped, term_df, doc_length, tf, tfidf_weights, doc_norms, collection_stats, lookups, documents_with_term, foreign_terms, arabic_only_terms, top_terms, rare_terms, index_dump_lines, bm25_top10, bm25_dup_query_term, cosine_top10, batch_ranked, batch_ranked_bm25, bm25_pruned, batch_boolean, confidence_cosine, confidence_bm25, result_summary, display_boolean, eval_metrics)
 } | {name: _search(query, profile) for name, (query, _, profile) in SEARCHES.items()}
 
 ORACLE_SQL: dict[str, str] = {
@@ -328,6 +345,7 @@ ORACLE_SQL: dict[str, str] = {
     "cosine_top10": _ranked_sql("cosine", {"1": RANKED["1"]}),
     "batch_ranked": _ranked_sql("cosine", RANKED),
     "batch_ranked_bm25": _ranked_sql("bm25", RANKED),
+    "bm25_pruned": _ranked_sql("bm25", RANKED),
     "batch_boolean": _batch_boolean_sql(),
     "confidence_cosine": _ranked_sql("cosine", RANKED, f"SELECT {_ROW}, {_BANDS} AS confidence FROM ranked WHERE rank <= 15"),
     "confidence_bm25": _ranked_sql("bm25", RANKED, f"SELECT {_ROW}, {_PLACES} AS confidence FROM ranked WHERE rank <= 15"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions import analysis, stemmer
 from lexigrove.functions.analysis import Profile
 from lexigrove.operators import boolean, index, ranking
+from lexigrove.plans import catalog
 
 LETTERS, SCRIPT = "abcdefghijklmnopqrstuvwxyz!?;,", "ابأدلفإهيجكىمنوٌقرستآـوخةزء؟؛،"
 STOP = ("لل", "هن", "من", "انا", "ل")
@@ -32,7 +33,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str, profile: Profile = STOPPED) -> index.Index:
-    return index.build_index(corpus(spark, sf_dir), profile, "doc_id", "text")
+    return catalog.indexed(spark, sf_dir, profile, corpus)
 
 
 def arabic_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.functions.analysis import Profile
-from lexigrove.operators.index import Index
-
 
 def join_parts(spark: SparkSession, folder: str, path: str) -> None:
     """One file at `path` of the part files of `folder`, in the order of their names. The store's file system moves the bytes: by
@@ -67,27 +64,6 @@ def save_postings(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(path)
 
 
-def save_stored_index(index: Index, path: str) -> None:
-    """All that searches read, under `path`: postings and term frequencies by term, lengths and norms by document, the
-    number of documents and of tokens. load_index() reads it back; a session that asks often builds it once."""
-    save_postings(index.postings, f"{path}/postings")
-    postings = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    stored = Index(index.documents, postings, index.profile)
-    stored.term_stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    norms = stored.norms.withColumnRenamed("doc_id", "of")
-    lengths = stored.doc_stats
-    lengths.join(norms, lengths["doc_id"] == norms["of"], "left").drop("of").write.mode("overwrite").parquet(f"{path}/documents")
-
-
-def load_index(spark: SparkSession, path: str, profile: Profile) -> Index:
-    """The index that save_stored_index() wrote; a missing one raises."""
-    documents, terms = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/terms")
-    at = Index(documents.select("doc_id", "doc_seq"), spark.read.parquet(f"{path}/postings"), profile, stored=True)
-    # What the dataclass would derive when first asked for is given here.
-    vars(at).update(term_stats=terms, doc_stats=documents.drop("norm"), norms=documents.where("norm is not null").select("doc_id", "norm"))
-    return at
-
-
 def save_boolean_results(results: DataFrame, path: str, one_file: bool = False) -> None:
     """`qid,doc`, by number; ids that are no numbers come last."""
     keys = [F.expr("try_cast(qid AS BIGINT)").asc_nulls_last(), F.col("qid"), F.expr("try_cast(doc_id AS BIGINT)").asc_nulls_last(), F.col("doc_id")]
