@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexigrove.config import EngineConfig
 from lexigrove.functions.analysis import ARABIC, Profile
-from lexigrove.operators.boolean import search, search_many
+from lexigrove.operators.batch import search_batch
+from lexigrove.operators.boolean import search
 from lexigrove.operators.index import Index, arabic_only, build_index
 from lexigrove.operators.ranking import queries_frame, rank_bm25, rank_cosine
 from lexigrove.sources import sinks, text_files
@@ -56,10 +57,8 @@ class SearchEngine:
         return rows
 
     def batch(self, boolean_queries: DataFrame, ranked_queries: DataFrame, output: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """All boolean queries, and all ranked ones by cosine with k = 10; written under `output` where it is given. A query
-        file is short, so its rows are read to the driver to be parsed."""
-        asked = {r["qid"]: r["text"] for r in boolean_queries.collect()}
-        found = search_many(self.index, asked)
+        """All boolean queries, and all ranked ones by cosine with k = 10; written under `output` where it is given."""
+        found = search_batch(self.index, boolean_queries)
         ranked = rank_cosine(self.index, ranked_queries, self.config.top_k_batch)
         if output:
             sinks.save_boolean_results(found, f"{output}/results.boolean")

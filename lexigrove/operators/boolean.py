@@ -20,44 +20,61 @@ from lexigrove.plans.query_language import Leaf, Node, denotation, leaves
 FEW_ENTRIES = 100_000
 
 
-def _asked(postings: DataFrame, entries: list[tuple], schema: str) -> DataFrame:
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(FEW_ENTRIES + 1).count() <= FEW_ENTRIES
+
+
+def _asked(postings: DataFrame, entries: DataFrame) -> DataFrame:
     """The postings of the entries' terms, beside each entry: one scan for all leaves of a kind."""
-    rows = postings.sparkSession.createDataFrame(entries, f"term string, {schema}")
-    return postings.join(F.broadcast(rows) if len(entries) <= FEW_ENTRIES else rows, "term")
+    return postings.join(F.broadcast(entries) if _few(entries) else entries, "term")
 
 
-def containing_each(postings: DataFrame, leaves: dict[int, list[str]]) -> DataFrame:
-    """(leaf, doc_id): documents with any of a leaf's terms."""
-    rows = _asked(postings, [(t, leaf) for leaf, terms in leaves.items() for t in dict.fromkeys(terms)], "leaf int")
-    return rows.select("leaf", "doc_id").distinct()
+def containing_rows(postings: DataFrame, entries: DataFrame) -> DataFrame:
+    """(leaf, doc_id): documents with any of a leaf's terms, for entries (term, leaf)."""
+    return _asked(postings, entries).select("leaf", "doc_id").distinct()
 
 
-def phrases(postings: DataFrame, leaves: dict[int, list[str]]) -> DataFrame:
-    """(leaf, doc_id): documents with a leaf's terms at consecutive positions.
+def phrase_rows(postings: DataFrame, entries: DataFrame) -> DataFrame:
+    """(leaf, doc_id): documents with a leaf's terms at consecutive positions, for entries (term, leaf, i, n).
 
     A posting that is a phrase's i-th term votes for the start pos - i; a start with a vote for every i is an
     occurrence. One aggregation on (leaf, doc_id, start), however long the phrases and however many.
     """
-    rows = _asked(postings, [(t, leaf, i, len(terms)) for leaf, terms in leaves.items() for i, t in enumerate(terms)], "leaf int, i int, n int")
-    starts = rows.groupBy("leaf", "doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("votes"), F.max("n").alias("n"))
+    starts = _asked(postings, entries).groupBy("leaf", "doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("votes"), F.max("n").alias("n"))
     return starts.where("votes = n").select("leaf", "doc_id").distinct()
 
 
-def near_each(postings: DataFrame, leaves: dict[int, tuple[list[str], list[str], int]]) -> DataFrame:
-    """(leaf, doc_id): documents where a left and a right term stand at most the leaf's distance apart, in either order.
+def near_rows(postings: DataFrame, entries: DataFrame) -> DataFrame:
+    """(leaf, doc_id): documents where a left and a right term stand at most the leaf's distance apart, in either order, for
+    entries (term, leaf, l, r, d), one for each term of a leaf.
 
     The nearest right position at or before a left one, and the other way round, are running maxima over a document's
     positions, so no pairs of positions are made: one exchange and one sort. A term of both lists is 0 apart.
     """
-    entries = [(t, leaf, t in left, t in right, d) for leaf, (left, right, d) in leaves.items() for t in dict.fromkeys([*left, *right])]
-    rows = _asked(postings, entries, "leaf int, l boolean, r boolean, d int")
     so_far = Window.partitionBy("leaf", "doc_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda side: F.max(F.when(F.col(side), F.col("pos"))).over(so_far)
-    gaps = rows.withColumn("last_l", last("l")).withColumn("last_r", last("r"))
+    gaps = _asked(postings, entries).withColumn("last_l", last("l")).withColumn("last_r", last("r"))
     hit = (F.col("l") & (F.col("pos") - F.col("last_r") <= F.col("d"))) | (F.col("r") & (F.col("pos") - F.col("last_l") <= F.col("d")))
     return gaps.where(hit).select("leaf", "doc_id").distinct()
 
 
+def _entries(postings: DataFrame, entries: list[tuple], schema: str) -> DataFrame:
+    return postings.sparkSession.createDataFrame(entries, f"term string, {schema}")
+
+
+def containing_each(postings: DataFrame, leaves: dict[int, list[str]]) -> DataFrame:
+    return containing_rows(postings, _entries(postings, [(t, leaf) for leaf, terms in leaves.items() for t in dict.fromkeys(terms)], "leaf long"))
+
+
+def phrases(postings: DataFrame, leaves: dict[int, list[str]]) -> DataFrame:
+    return phrase_rows(postings, _entries(postings, [(t, leaf, i, len(terms)) for leaf, terms in leaves.items() for i, t in enumerate(terms)], "leaf long, i int, n int"))
+
+
+def near_each(postings: DataFrame, leaves: dict[int, tuple[list[str], list[str], int]]) -> DataFrame:
+    entries = [(t, leaf, t in left, t in right, d) for leaf, (left, right, d) in leaves.items() for t in dict.fromkeys([*left, *right])]
+    return near_rows(postings, _entries(postings, entries, "leaf long, l boolean, r boolean, d int"))
+
+
 def containing(postings: DataFrame, terms: list[str]) -> DataFrame:
     return containing_each(postings, {0: terms}).select("doc_id")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import DIGITS, LATIN, Profile
-from lexigrove.operators import boolean, display, evaluation, index, packed, ranking
+from lexigrove.operators import batch, boolean, display, evaluation, index, packed, ranking
 from lexigrove.sources import workspace
 from lexigrove.sources.sinks import index_lines
 
@@ -285,6 +285,21 @@ def batch_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boolean.search_many(indexed(spark, sf_dir), BOOLEAN)
 
 
+def batch_boolean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch as rows, and the searches of this catalogue that read the same profile."""
+    queries = BOOLEAN | {name: query for name, (query, _, profile) in SEARCHES.items() if profile is LATIN}
+    return batch.search_batch(indexed(spark, sf_dir), ranking.queries_frame(spark, queries))
+
+
+def batch_boolean_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each benchmark item: its second and third words and not its fourth, or its last two as a phrase."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id is not null").select(F.col("item_id").cast("string").alias("qid"), words.alias("w")).where("size(w) >= 4")
+    at = lambda i: F.concat(F.lit("#0("), F.element_at("w", i), F.lit(","), F.element_at("w", i), F.lit(")"))
+    text = F.concat(at(2), F.lit(" AND "), at(3), F.lit(" AND NOT "), at(4), F.lit(' OR "'), F.element_at("w", -2), F.lit(" "), F.element_at("w", -1), F.lit('"'))
+    return batch.search_batch(indexed(spark, sf_dir), rows.select("qid", text.alias("text")))
+
+
 def confidence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ranked(spark, sf_dir, "cosine", RANKED, 15).withColumn("score", F.round("score", 4))
     return _shown(rows.withColumn("confidence", display.cosine_label(F.col("score"))), "confidence")
@@ -319,7 +334,7 @@ _BLOCKS = "[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿0-9]"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (tokens_digits, postings_latin, index_build, postings_stopped, term_df, doc_length, tf, tfidf_weights, doc_norms, collection_stats, lookups, documents_with_term, foreign_terms, arabic_only_terms, top_terms, rare_terms, index_dump_lines, bm25_top10, bm25_dup_query_term, cosine_top10, batch_ranked, batch_ranked_bm25, bm25_pruned, batch_boolean, confidence_cosine, confidence_bm25, result_summary, display_boolean, eval_metrics)
+    for f in (tokens_digits, postings_latin, index_build, postings_stopped, term_df, doc_length, tf, tfidf_weights, doc_norms, collection_stats, lookups, documents_with_term, foreign_terms, arabic_only_terms, top_terms, rare_terms, index_dump_lines, bm25_top10, bm25_dup_query_term, cosine_top10, batch_ranked, batch_ranked_bm25, bm25_pruned, batch_boolean, batch_boolean_rows, batch_boolean_items, confidence_cosine, confidence_bm25, result_summary, display_boolean, eval_metrics)
 } | {name: _search(query, profile) for name, (query, _, profile) in SEARCHES.items()}
 
 ORACLE_SQL: dict[str, str] = {
@@ -347,6 +362,10 @@ ORACLE_SQL: dict[str, str] = {
     "batch_ranked_bm25": _ranked_sql("bm25", RANKED),
     "bm25_pruned": _ranked_sql("bm25", RANKED),
     "batch_boolean": _batch_boolean_sql(),
+    "batch_boolean_rows": _batch_boolean_sql() + "".join(f" UNION ALL SELECT '{name}', doc_id FROM tok WHERE {condition}" for name, (_, condition, profile) in SEARCHES.items() if profile is LATIN),
+    "batch_boolean_items": f"""WITH {_TOKENS}, w AS (SELECT CAST(item_id AS VARCHAR) AS qid, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+        d AS (SELECT doc_id, t, list_distinct(t) AS s, ' ' || array_to_string(t, ' ') || ' ' AS line FROM tok)
+        SELECT qid, doc_id FROM w, d WHERE len(w) >= 4 AND (list_contains(s, w[2]) AND list_contains(s, w[3]) AND NOT list_contains(s, w[4]) OR contains(line, ' ' || w[-2] || ' ' || w[-1] || ' '))""",
     "confidence_cosine": _ranked_sql("cosine", RANKED, f"SELECT {_ROW}, {_BANDS} AS confidence FROM ranked WHERE rank <= 15"),
     "confidence_bm25": _ranked_sql("bm25", RANKED, f"SELECT {_ROW}, {_PLACES} AS confidence FROM ranked WHERE rank <= 15"),
     "result_summary": _ranked_sql("bm25", RANKED, "SELECT qid, count(*) AS n, round(max(score), 4) AS best, round(avg(score), 4) AS mean FROM ranked WHERE rank <= 50 GROUP BY ALL"),
