@@ -66,8 +66,9 @@ def containing_each(postings: DataFrame, leaves: dict[int, list[str]]) -> DataFr
     return containing_rows(postings, _entries(postings, [(t, leaf) for leaf, terms in leaves.items() for t in dict.fromkeys(terms)], "leaf long"))
 
 
-def phrases(postings: DataFrame, leaves: dict[int, list[str]]) -> DataFrame:
-    return phrase_rows(postings, _entries(postings, [(t, leaf, i, len(terms)) for leaf, terms in leaves.items() for i, t in enumerate(terms)], "leaf long, i int, n int"))
+def phrases(postings: DataFrame, leaves: dict[int, list[tuple[int, str]]]) -> DataFrame:
+    """leaves: what each looks up, and where in the phrase it stands."""
+    return phrase_rows(postings, _entries(postings, [(t, leaf, i, len(units)) for leaf, units in leaves.items() for i, t in units], "leaf long, i int, n int"))
 
 
 def near_each(postings: DataFrame, leaves: dict[int, tuple[list[str], list[str], int]]) -> DataFrame:
@@ -80,7 +81,7 @@ def containing(postings: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def phrase(postings: DataFrame, terms: list[str]) -> DataFrame:
-    return phrases(postings, {0: terms}).select("doc_id")
+    return phrases(postings, {0: list(enumerate(terms))}).select("doc_id")
 
 
 def near(postings: DataFrame, left: list[str], right: list[str], distance: int) -> DataFrame:
@@ -94,7 +95,7 @@ def near_by_join(postings: DataFrame, left: list[str], right: list[str], distanc
     return a.join(b, (F.col("doc_id") == F.col("other")) & (F.abs(F.col("pos") - F.col("at")) <= distance), "left_semi").select("doc_id").distinct()
 
 
-def _hits(postings: DataFrame, every: list[Leaf], terms: dict[Leaf, list[list[str]]]) -> list[DataFrame]:
+def _hits(index: Index, every: list[Leaf], terms: dict[Leaf, list[list[str]]]) -> list[DataFrame]:
     """(leaf, doc_id) tables, one for each kind of leaf that can match something."""
     plain, rows, close = {}, {}, {}
     for i, x in enumerate(every):
@@ -107,7 +108,16 @@ def _hits(postings: DataFrame, every: list[Leaf], terms: dict[Leaf, list[list[st
             rows[i] = found[0]
         else:
             plain[i] = found[0]
-    return [make(postings, leaves) for make, leaves in ((containing_each, plain), (phrases, rows), (near_each, close)) if leaves]
+    units = dict(zip(rows, index.units(list(rows.values())), strict=True))
+    postings = lambda lists: index.postings_of(sorted({t for ts in lists for t in ts}))
+    out = []
+    if plain:
+        out.append(containing_each(postings(plain.values()), plain))
+    if units:
+        out.append(phrases(postings([t for _, t in us] for us in units.values()), units))
+    if close:
+        out.append(near_each(postings([*left, *right] for left, right, _ in close.values()), close))
+    return out
 
 
 def _condition(node: Leaf | Node, flag: dict[Leaf, Column]) -> Column:
@@ -125,12 +135,10 @@ def search_many(index: Index, queries: dict[str, str]) -> DataFrame:
     texts = [t for x in every for t in x.texts]
     analysed = iter(analyze_texts(spark, texts, index.profile))
     terms = {x: [next(analysed) for _ in x.texts] for x in every}
-    wanted = sorted({t for lists in terms.values() for ts in lists for t in ts})
     empty = index.documents.where("false").select(F.lit("").alias("qid"), "doc_id")
     if not asked:
         return empty
-    postings = index.only(wanted)
-    found = _hits(postings, every, terms)
+    found = _hits(index, every, terms)
     flags = {x: F.lit(False) for x in every}
     rows = index.documents
     if found:

@@ -73,6 +73,13 @@ class Index:
         """The postings of a few terms."""
         return self.postings.where(F.col("term").isin(terms)) if terms else self.postings.where("false")
 
+    def units(self, phrases: list[list[str]]) -> list[list[tuple[int, str]]]:
+        """For each phrase what to look up and where it stands in it."""
+        return [list(enumerate(terms)) for terms in phrases]
+
+    def postings_of(self, units: list[str]) -> DataFrame:
+        return self.only(units)
+
     # Lookups by term.
     def document_frequency(self, term: str) -> DataFrame:
         return self.only([term]).agg(F.countDistinct("doc_id").alias("df"))

@@ -6,6 +6,7 @@ stands in a document at most, and how short such a document is. Parquet's delta
 are range-partitioned by term and block, so a term's lookup reads few row groups.
 
     blocks     term, block, first, last, n, max_tf, min_dl, ids, positions
+    pairs      the same, for two frequent terms that stand next to each other ("of the"), without where they end
     terms      term, df                       documents  doc_id, doc_seq, dl, norm          totals  documents, tokens, repeated
 """
 
@@ -23,6 +24,8 @@ BLOCK = 512
 DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 #: The threshold comes from a query's rarest terms that stand in at least this many times k documents.
 LEAD = 4
+#: Terms in at least this share of the documents are frequent. A document's distinct terms over it bound how many there are.
+FREQUENT = 0.05
 #: So many distinct blocks become a filter on the scan.
 FILTERED = 1000
 
@@ -36,11 +39,7 @@ def pack(documents: DataFrame, profile: Profile, id_col: str = "id", text_col: s
     each = stemmed(each, "token", profile)
     if profile.stems:
         each = each.groupBy("term", "block", "doc_id").agg(F.flatten(F.collect_list("p")).alias("p"), F.min("dl").alias("dl"))
-    held = F.array_sort(F.collect_list(F.struct("doc_id", F.array_sort("p").alias("p")))).alias("x")
-    packed = each.groupBy("term", "block").agg(held, F.max(F.size("p")).alias("max_tf"), F.min("dl").alias("min_dl"))
-    ids, positions = F.transform("x", lambda x: x["doc_id"]), F.transform("x", lambda x: x["p"])
-    blocks = packed.select("term", "block", F.get("x", F.lit(0))["doc_id"].alias("first"), F.element_at("x", -1)["doc_id"].alias("last"), F.size("x").alias("n"), "max_tf", "min_dl", ids.alias("ids"), positions.alias("positions"))
-    return blocks, rows.select("doc_id", "doc_seq", "dl")
+    return _packed(each), rows.select("doc_id", "doc_seq", "dl")
 
 
 def unpacked(blocks: DataFrame) -> DataFrame:
@@ -54,11 +53,35 @@ def frequencies(blocks: DataFrame, repeated: bool) -> DataFrame:
     return each.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf")) if repeated else each
 
 
+def pack_pairs(blocks: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
+    """Packed postings of "a b" where b follows a and both are frequent, at a's positions. Only frequent terms are unpacked; a
+    document's positions meet by (block, document)."""
+    frequent = terms.where(F.col("df") >= FREQUENT * n_docs).select("term")
+    held = blocks.join(F.broadcast(frequent), "term", "left_semi").select("term", "block", "min_dl", F.inline(F.arrays_zip("ids", "positions")))
+    rows = held.select("term", "block", "min_dl", F.col("ids").alias("doc_id"), F.explode("positions").alias("pos"))
+    order = Window.partitionBy("block", "doc_id").orderBy("pos")
+    pairs = rows.withColumns({"next": F.lead("term").over(order), "next_pos": F.lead("pos").over(order)}).where("next_pos = pos + 1")
+    each = pairs.groupBy(F.concat_ws(" ", "term", "next").alias("term"), "block", "doc_id").agg(F.collect_list("pos").alias("p"), F.min("min_dl").alias("dl"))
+    return _packed(each)
+
+
+def _packed(each: DataFrame) -> DataFrame:
+    """Blocks of rows (term, block, doc_id, p, dl)."""
+    held = F.array_sort(F.collect_list(F.struct("doc_id", F.array_sort("p").alias("p")))).alias("x")
+    packed = each.groupBy("term", "block").agg(held, F.max(F.size("p")).alias("max_tf"), F.min("dl").alias("min_dl"))
+    ids, positions = F.transform("x", lambda x: x["doc_id"]), F.transform("x", lambda x: x["p"])
+    return packed.select("term", "block", F.get("x", F.lit(0))["doc_id"].alias("first"), F.element_at("x", -1)["doc_id"].alias("last"), F.size("x").alias("n"), "max_tf", "min_dl", ids.alias("ids"), positions.alias("positions"))
+
+
+def _write(blocks: DataFrame, path: str) -> None:
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").options(**DELTAS).parquet(path)
+
+
 def store(documents: DataFrame, profile: Profile, path: str, id_col: str = "id", text_col: str = "full_text", seq_col: str = "doc_seq", block: int = BLOCK) -> None:
     """Write all that searches read under `path`."""
     spark = documents.sparkSession
     blocks, rows = pack(documents, profile, id_col, text_col, seq_col, block)
-    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").options(**DELTAS).parquet(f"{path}/blocks")
+    _write(blocks, f"{path}/blocks")
     lengths = rows.groupBy("doc_id").agg(F.min("doc_seq").alias("doc_seq"), F.sum("dl").alias("dl"), F.count("*").alias("rows"))
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     blocks, lengths = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/lengths")
@@ -67,8 +90,11 @@ def store(documents: DataFrame, profile: Profile, path: str, id_col: str = "id",
     tf = frequencies(blocks, repeated)
     terms = tf.groupBy("term").agg(F.count("*").alias("df")) if repeated else blocks.groupBy("term").agg(F.sum("n").cast("long").alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    # Rows of one id have positions of their own, which don't follow on each other.
+    _write(blocks.where("false") if repeated else pack_pairs(blocks, terms, n), f"{path}/pairs")
     at = Index(lengths.select("doc_id", "doc_seq"), unpacked(blocks), profile)
-    vars(at).update(tf=tf, term_stats=spark.read.parquet(f"{path}/terms"), n_docs=n)
+    vars(at).update(tf=tf, term_stats=terms, n_docs=n)
     norms = at.norms.withColumnRenamed("doc_id", "of")
     lengths.drop("rows").join(norms, lengths["doc_id"] == norms["of"], "left").drop("of").write.mode("overwrite").parquet(f"{path}/documents")
 
@@ -77,8 +103,30 @@ class StoredIndex(Index):
     """An index whose postings are unpacked from blocks as they are read: a filter on terms reaches the scan."""
 
     blocks: DataFrame
+    pairs: DataFrame
     repeated: bool
 
+    def units(self, phrases: list[list[str]]) -> list[list[tuple[int, str]]]:
+        """For each phrase what to look up and where it stands in it: two frequent terms side by side are one entry of `pairs`."""
+        asked = sorted({t for terms in phrases for t in terms})
+        known = self.term_stats.where(F.col("term").isin(asked) & (F.col("df") >= FREQUENT * self.n_docs)).select("term").collect() if asked and not self.repeated else []
+        frequent = {r["term"] for r in known}  # of the phrases' own terms
+        out = []
+        for terms in phrases:
+            units, i = [], 0
+            while i < len(terms):
+                both = i + 1 < len(terms) and terms[i] in frequent and terms[i + 1] in frequent
+                units.append((i, f"{terms[i]} {terms[i + 1]}" if both else terms[i]))
+                i += 2 if both else 1
+            out.append(units)
+        return out
+
+    def postings_of(self, units: list[str]) -> DataFrame:
+        """(term, doc_id, pos) of terms and of pairs."""
+        single, double = [u for u in units if " " not in u], [u for u in units if " " in u]
+        rows = self.only(single)
+        return rows.union(unpacked(self.pairs.where(F.col("term").isin(double)))) if double else rows
+
 
 def load(spark: SparkSession, path: str, profile: Profile) -> StoredIndex:
     """The index that store() wrote; a missing one raises."""
@@ -86,7 +134,7 @@ def load(spark: SparkSession, path: str, profile: Profile) -> StoredIndex:
     n, tokens, repeated = spark.read.parquet(f"{path}/totals").first()
     at = StoredIndex(documents.select("doc_id", "doc_seq"), unpacked(blocks), profile, stored=True)
     # What the dataclass would derive when first asked for is given here.
-    vars(at).update(blocks=blocks, repeated=repeated, n_docs=n, n_tokens=tokens, tf=frequencies(blocks, repeated), term_stats=spark.read.parquet(f"{path}/terms"), doc_stats=documents.drop("norm"), norms=documents.where("norm is not null").select("doc_id", "norm"))
+    vars(at).update(blocks=blocks, pairs=spark.read.parquet(f"{path}/pairs"), repeated=repeated, n_docs=n, n_tokens=tokens, tf=frequencies(blocks, repeated), term_stats=spark.read.parquet(f"{path}/terms"), doc_stats=documents.drop("norm"), norms=documents.where("norm is not null").select("doc_id", "norm"))
     return at
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import ARABIC, LATIN
-from lexigrove.operators import index, packed, ranking
+from lexigrove.operators import boolean, index, packed, ranking
 from lexigrove.plans import catalog
 
 
@@ -50,6 +50,17 @@ def test_stemmed_postings(spark, tmp_path):
     same(plain.tf, at.tf)
 
 
+def test_phrases_by_pairs(spark, tmp_path):
+    plain, at = stored(spark, tmp_path, documents(500, 3))
+    frequent = {r["term"] for r in at.term_stats.where(F.col("df") >= packed.FREQUENT * at.n_docs).collect()}
+    assert {"w0", "w1"} <= frequent and "w199" not in frequent
+    assert at.units([["w0", "w1"], ["w199", "w0", "w1", "w2"], ["w0", "w199"], ["w0", "w0", "w0"]]) == [[(0, "w0 w1")], [(0, "w199"), (1, "w0 w1"), (3, "w2")], [(0, "w0"), (1, "w199")], [(0, "w0 w0"), (2, "w0")]]
+    asked = {p: f'"{p}"' for p in ("w0 w1", "w1 w0", "w0 w0", "w0 w0 w0", "w2 w0 w1", "w0 w1 w90", "w90 w0 w1 w0", "w199 w198", "w0 nothing", "w0")}
+    same(boolean.search_many(plain, asked), boolean.search_many(at, asked))
+    read = at.pairs.where("term = 'w0 w1'").agg(F.sum(F.size(F.flatten("positions")))).first()[0]
+    assert 0 < read < at.only(["w0", "w1"]).count() / 3
+
+
 def test_empty_corpus(spark, tmp_path):
     _, at = stored(spark, tmp_path, [])
     asked = ranking.queries_frame(spark, {"q": "w1"})
