@@ -23,8 +23,9 @@ from lexigrove.llm.scratch import Scratch
 SAMPLE = 2000
 #: Words and n-grams seen less often are not kept; what the sample's texts hold bounds the tables.
 OFTEN = 2
-#: What an expression costs in a language that has never shown it: more than the rarest one kept.
-UNSEEN = 6.2
+#: An expression costs in a language that has never shown it as if it were seen so often in the largest table of its length: more
+#: than the rarest one kept anywhere.
+UNSEEN = 0.5
 LONGEST = 5
 #: A worker remembers the scores of so many words, and at most so many numbers.
 REMEMBERED, NUMBERS = 300_000, 4 << 20
@@ -63,8 +64,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
     langs = sorted(most["lang"])
     tables: list[dict[str, tuple]] = [{} for _ in range(LONGEST + 1)]
     at = {name: i for i, name in enumerate(langs)}
+    largest = total.groupBy("size").agg(F.max("total").alias("total")).collect()  # a row for each length
+    unseen = {r["size"]: math.log10(r["total"] / UNSEEN) for r in largest}
     for lang, n, gram, score in found.itertuples(index=False):
-        tables[n].setdefault(gram, [UNSEEN] * len(langs))[at[lang]] = score
+        tables[n].setdefault(gram, [unseen[n]] * len(langs))[at[lang]] = score
     return {"langs": langs, "common": at[most["lang"].iloc[0]] if langs else None, "tables": tables}
 
 

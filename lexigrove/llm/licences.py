@@ -123,9 +123,11 @@ def _windows(name: str, grams: list[str], least: float) -> Column:
 
 
 def _best(found: Column) -> Column:
-    """Windows of one template that no better or equal earlier one overlaps."""
-    better = lambda y, x: (y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & ((y["first"] < x["first"]) | ((y["first"] == x["first"]) & (y["last"] < x["last"]))))
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: (y["first"] <= x["last"]) & (y["last"] >= x["first"]) & better(y, x)))
+    """Windows of one template, best first, ties by first and then last line, without those that overlap one kept before them."""
+    in_order = F.array_sort(F.transform(found, lambda x: F.struct((-x["dice"]).alias("worse"), x["first"].alias("first"), x["last"].alias("last"), x["license"].alias("license"), x["dice"].alias("dice"))))
+    overlaps = lambda kept, x: F.exists(kept, lambda y: (y["first"] <= x["last"]) & (y["last"] >= x["first"]))
+    window = lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["license"].alias("license"), x["dice"].alias("dice"))
+    return F.aggregate(in_order, F.array().cast(_WINDOWS), lambda kept, x: F.when(overlaps(kept, x), kept).otherwise(F.concat(kept, F.array(window(x)))))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
@@ -165,7 +167,6 @@ def sql(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:
               FROM hit a JOIN hit b ON a.row_no = b.row_no AND a.license = b.license AND a.line_no <= b.line_no JOIN d ON d.row_no = a.row_no),
         g AS (SELECT row_no, w.license, first, last, t.grams, t.n, {grams("w.words")} AS g FROM w JOIN t USING (license) WHERE len(words) - 1 BETWEEN {low!r} * n AND {high!r} * n + 1),
         m AS (SELECT row_no, license, first, last, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + n) AS dice FROM g),
-        f AS (SELECT * FROM m WHERE dice >= {least}::DOUBLE)
-        SELECT doc_id, CAST(first AS BIGINT) AS first_line, CAST(last AS BIGINT) AS last_line, license, CAST(dice AS DOUBLE) AS dice FROM f x JOIN d USING (row_no)
-        WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.row_no = x.row_no AND y.license = x.license AND y.first <= x.last AND y.last >= x.first
-          AND (y.dice > x.dice OR (y.dice = x.dice AND (y.first < x.first OR (y.first = x.first AND y.last < x.last)))))"""
+        f AS (SELECT row_no, license, list([{{'first': first, 'last': last, 'dice': dice}}] ORDER BY dice DESC, first, last) AS found FROM m WHERE dice >= {least}::DOUBLE GROUP BY ALL),
+        k AS (SELECT row_no, license, unnest(list_reduce(found, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: y.first <= x[1].last AND y.last >= x[1].first)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS x FROM f)
+        SELECT doc_id, CAST(x.first AS BIGINT) AS first_line, CAST(x.last AS BIGINT) AS last_line, license, CAST(x.dice AS DOUBLE) AS dice FROM k JOIN d USING (row_no)"""

@@ -73,15 +73,16 @@ def _size(paragraphs: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 where the roots agree; else 2 c / (2 c + x + y), under 1, where c counts the pieces of distinct common sections, of
+    """1 where the roots agree; else 2 c / (2 c + max(x + y, 1)), under 1, where c counts the pieces of distinct common sections, of
     distinct common paragraphs of the other sections, and the distinct common pieces of the other paragraphs, x and y the
-    distinct pieces that only one has."""
+    distinct pieces that only one has. Texts that differ in the order or number of equal parts alone count as one piece apart."""
     both = lambda x, y: F.struct(F.array_intersect(x, y).alias("common"), F.array_except(x, y).alias("a"), F.array_except(y, x).alias("b"))
     pieces = lambda paragraphs: F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substring(p, 10, 2**31 - 1), F.lit("([0-9a-f]{8})"), 1)))
 
     def leaves(whole: Column, x: Column, y: Column) -> Column:
         common = whole + F.size(F.array_intersect(x, y))
-        return 2.0 * common / (2 * common + F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+        apart = F.greatest(F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)), F.lit(1))
+        return 2.0 * common / (2 * common + apart)
 
     def paragraphs(whole: Column, x: Column, y: Column) -> Column:
         return _once(both(x, y), lambda p: _once(F.struct((whole + _size(p["common"])).alias("whole"), pieces(p["a"]).alias("x"), pieces(p["b"]).alias("y")), lambda q: leaves(q["whole"], q["x"], q["y"])))

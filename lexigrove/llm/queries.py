@@ -115,7 +115,7 @@ def _near(name: str, a: str, b: str) -> str:
         {name}1 AS (SELECT doc_id, left({a}, 32) = left({b}, 32) AS same, {below(a)} AS x, {below(b)} AS y FROM f),
         {name}2 AS (SELECT doc_id, same, flatten(list_transform(list_intersect(x, y), lambda s: string_split(substring(s, 10), ','))) AS whole, {paragraphs(_only("x", "y"))} AS x, {paragraphs(_only("y", "x"))} AS y FROM {name}1),
         {name}3 AS (SELECT doc_id, same, {size("whole")} + {size("list_intersect(x, y)")} AS whole, list_distinct({_pieces(_only("x", "y"))}) AS x, list_distinct({_pieces(_only("y", "x"))}) AS y FROM {name}2),
-        {name} AS (SELECT doc_id, CASE WHEN same THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (whole + len(list_intersect(x, y))) / (2 * (whole + len(list_intersect(x, y))) + len({_only("x", "y")}) + len({_only("y", "x")})) END AS near FROM {name}3)"""
+        {name} AS (SELECT doc_id, CASE WHEN same THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (whole + len(list_intersect(x, y))) / (2 * (whole + len(list_intersect(x, y))) + greatest(len({_only("x", "y")}) + len({_only("y", "x")}), 1)) END AS near FROM {name}3)"""
 
 
 _CHANGED = """
