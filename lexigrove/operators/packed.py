@@ -19,9 +19,9 @@ from lexigrove.functions.analysis import Profile, analyze, stemmed
 from lexigrove.operators import ranking
 from lexigrove.operators.index import Index
 
-BLOCK = 512
+BLOCK = 2048
 #: Gaps instead of numbers: the file format's own delta encodings.
-DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "compression": "zstd"}
 #: The threshold comes from a query's rarest terms that stand in at least this many times k documents.
 LEAD = 4
 #: Terms in at least this share of the documents are frequent. A document's distinct terms over it bound how many there are.
