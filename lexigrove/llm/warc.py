@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,15 +68,19 @@ def write(pages: DataFrame, path: str, scratch: Scratch, least: int = 100, date:
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_MEMBER = b"\x1f\x8b\x08"
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: A member is read and inflated in steps of so many bytes; a damaged one in finer ones, which tell where its last sound record ends.
+FED, STEP, FINE = 16 << 10, 64 << 10, 64
+CUT, ENDLESS = "member without end", "header without end"
 
 
-def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """The plain record that starts at `at`, the offset after it, and why there is none."""
+def _record(data: bytes | bytearray, at: int) -> tuple[dict | None, int, str]:
+    """The plain record that starts at `at`, the offset after it (as declared; `at` where nothing is), and why there is none."""
     if not _VERSION.match(data, at):
         return None, at, "no version line"
     if (stop := data.find(b"\r\n\r\n", at)) < 0:
-        return None, at, "header without end"
+        return None, at, ENDLESS
     fields = {}
     for raw in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = raw.partition(b":")
@@ -85,73 +90,173 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     length = fields.get("content-length", "")
     if "warc-type" not in fields or not length.isascii() or not length.isdigit():
         return None, at, "no type or length"
-    body, end = stop + 4, stop + 4 + int(length)
+    body, end = stop + 4, stop + 4 + int(length[:18])
     if data[end : end + 4] != b"\r\n\r\n":
-        return None, at, "block without terminator"
-    block = data[body:end]
+        return None, end + 4, "block without terminator"
+    block = bytes(data[body:end])
     kind, _, digest = fields.get("warc-block-digest", "").partition(":")
     if kind == "sha256" and hashlib.sha256(block).hexdigest() != digest.lower():
-        return None, at, "block digest differs"
-    return {"offset": at, "length": end + 4 - at, "fields": fields, "block": block}, end + 4, ""
+        return None, end + 4, "block digest differs"
+    return {"fields": fields, "block": block, "vouched": kind == "sha256"}, end + 4, ""
+
+
+def _onward(data: bytes | bytearray, at: int, after: int, start: re.Pattern, whole: bool = True) -> int:
+    """Where the search goes on when what starts at `at` failed: at `after`, its declared end, if something starts or all data ends
+    there, so that nothing inside a damaged block counts; else at the next start, or where one may begin that `data` cuts off."""
+    if after > at and (start.match(data, after) or whole and after == len(data)):
+        return after
+    step = start.search(data, at + 1)
+    return step.start() if step else len(data) if whole else max(at + 1, len(data) - 9)
+
+
+def _deflated(data: bytes, at: int) -> int | None:
+    """Where the deflate stream of the gzip member at `at` begins; None if its header is unsound."""
+    if at + 10 > len(data) or (flags := data[at + 3]) & 0xE0:
+        return None
+    to = at + 10
+    if flags & 4:
+        to += 2 + int.from_bytes(data[to : to + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            if (end := data.find(b"\0", to)) < 0:
+                return None
+            to = end + 1
+    to += 2 if flags & 2 else 0
+    return to if to <= len(data) else None
+
+
+def _inflate(data: bytes, at: int, step: int) -> Generator[tuple[bytes, int], None, tuple[int, str]]:
+    """Pieces of at most `step` bytes of what the member at `at` inflates to, each with the offset read up to; returns the member's
+    end and why it is unsound, if so."""
+    if (fed := _deflated(data, at)) is None:
+        return at, "member without header"
+    inflate, left, crc, size = zlib.decompressobj(-15), b"", 0, 0
+    while not inflate.eof:
+        if not left:
+            left = data[fed : fed + FED]
+            fed += len(left)
+        last = not left
+        try:
+            piece = inflate.decompress(left, step)
+        except zlib.error as e:
+            return fed - len(left), f"member does not inflate: {e}"
+        if last and not piece and not inflate.eof:
+            return len(data), CUT
+        left = inflate.unconsumed_tail
+        crc, size = zlib.crc32(piece, crc), size + len(piece)
+        if piece:
+            yield piece, fed - len(inflate.unused_data if inflate.eof else left)
+    end = fed - len(inflate.unused_data)
+    if len(trailer := data[end : end + 8]) < 8:
+        return len(data), CUT
+    sound = trailer == crc.to_bytes(4, "little") + (size & 0xFFFFFFFF).to_bytes(4, "little")
+    return end + 8, "" if sound else "member checksum differs"
+
+
+def _member(data: bytes, at: int) -> tuple[int, str]:
+    """The end of the member at `at`, and why it is unsound, if so; nothing is held."""
+    pieces = _inflate(data, at, STEP)
+    while True:
+        try:
+            next(pieces)
+        except StopIteration as end:
+            return end.value
+
+
+def _inside(data: bytes, at: int, why: str) -> Iterator[dict]:
+    """Records and gaps of what the member at `at` inflates to, by inner offset and length; `why` tells what is wrong with the member.
+
+    One record's bytes are held. `reach` is the offset read up to when a record ended; a gap at the end is a `tail`. Where the
+    member's bytes are known to be altered, only records with a digest of their own are sound.
+    """
+    altered = why not in ("", CUT)
+    held, base, pos, wanted, bad, reason, reach = bytearray(), 0, 0, 0, None, "", at
+    for piece, upto in chain(_inflate(data, at, FINE if why else STEP), [(b"", None)]):
+        held += piece
+        end, reach = upto is None, upto or reach
+        if len(held) < wanted and not end:
+            continue
+        while pos < len(held):
+            record, after, failed = _record(held, pos)
+            # What follows a failed record's declared end has to be seen, too.
+            if failed and not end and (failed == ENDLESS or len(held) < max(after, pos) + 10):
+                wanted = 2 * len(held) if failed == ENDLESS else after if len(held) < after else max(after, pos) + 10
+                break
+            if record and altered and not record["vouched"]:
+                record, failed = None, "no digest in an altered member"
+            if record:
+                if bad is not None:
+                    yield {"inner_offset": bad, "inner_length": base + pos - bad, "gap": reason}
+                yield {"inner_offset": base + pos, "inner_length": after - pos, "reach": reach, **record}
+                pos, bad = after, None
+            else:
+                if bad is None:
+                    bad, reason = base + pos, failed
+                pos = _onward(held, pos, after, _VERSION, end)
+        del held[:pos]
+        base, wanted, pos = base + pos, wanted - pos, 0
+    if bad is not None:
+        yield {"inner_offset": bad, "inner_length": base - bad, "gap": reason, "tail": True}
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """All sound records of an archive and every byte range that belongs to none, in order, covering all of `data`.
 
-    An archive is a run of plain records, gzip members of whole records, or both. A record must have a version line,
-    type, length, its whole block, the terminator, and the block digest where it names one; a member must inflate
-    and hold only sound records. After a failed check the search goes on at the next member or version line after
-    the place that failed, and the bytes between are one quarantined gap {offset, length, gap: reason}. An empty
-    archive yields nothing.
+    An archive is a run of plain records, gzip members of records, or both. A record must have a version line, type, length,
+    its whole block, the terminator, and the block digest where it names one. After a failed check the search goes on behind the
+    record's declared end if a record or member starts there or the archive ends, so no record inside a damaged block counts; else
+    at the next version line or member. The bytes between are one quarantined gap {offset, length, gap: reason}.
+
+    Members are inflated in steps. Records and gaps inside one have its offset and length and their own inner_offset and
+    inner_length. A member that is cut short, doesn't inflate or has another checksum gives the sound records it holds (when its
+    bytes are altered, those with a digest) and ends with the last of them; what follows is a gap. One without any
+    is a gap as a whole. An empty archive yields nothing.
     """
     at, bad, why = 0, None, ""
 
     def gap(upto: int) -> Iterator[dict]:
-        if bad is not None:
+        if bad is not None and upto > bad:
             yield {"offset": bad, "length": upto - bad, "gap": why}
 
     while at < len(data):
-        found: list[dict] = []
-        if data.startswith(b"\x1f\x8b\x08", at):
-            after, reason = at, ""
-            try:
-                inflate = zlib.decompressobj(31)
-                inner = inflate.decompress(memoryview(data)[at:])
-                after = len(data) - len(inflate.unused_data)
-                if not inflate.eof:
-                    reason = "member without end"
-            except zlib.error as e:
-                reason, inner = f"member does not inflate: {e}", b""
-            inside = 0
-            while not reason and inside < len(inner):
-                record, inside, reason = _record(inner, inside)
-                if record:
-                    found.append(record | {"offset": at, "length": after - at})
+        record, after, reason = None, at, ""
+        if data.startswith(_MEMBER, at):
+            after, reason = _member(data, at)
+            sound = (x["reach"] for x in _inside(data, at, reason) if "fields" in x)
+            upto = max(sound, default=at) if reason else after if next(sound, None) else at
+            if upto > at:
+                yield from gap(at)
+                for x in _inside(data, at, reason):
+                    if not (reason and x.get("tail")):  # what ends a damaged member is in the gap behind it
+                        yield {"offset": at, "length": upto - at, **x}
+                bad, why = (upto, reason) if reason else (None, "")
+                step = _NEXT.search(data, upto) if reason else None
+                at = upto if not reason else step.start() if step else len(data)
+                continue
+            after, reason = (at, reason) if reason else (after, "member without records")
         else:
             record, after, reason = _record(data, at)
-            found = [record] if record else []
-        if reason:
+        if record:
+            yield from gap(at)
+            yield {"offset": at, "length": after - at, **record}
+            at, bad = after, None
+        else:
             if bad is None:
                 bad, why = at, reason
-            step = _NEXT.search(data, at + 1)
-            at = step.start() if step else len(data)
-            continue
-        yield from gap(at)
-        bad, at = None, after
-        yield from found
+            at = _onward(data, at, after, _NEXT)
     yield from gap(len(data))
 
 
-READ = "file string, offset long, length long, gap string, record_type string, record_id string, refers_to string, uri string, payload_digest string, declared_bytes long, payload binary"
+READ = "file string, offset long, length long, inner_offset long, inner_length long, gap string, record_type string, record_id string, refers_to string, uri string, payload_digest string, declared_bytes long, payload binary"
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload_digest", pa.string()), ("declared_bytes", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("inner_offset", pa.int64()), ("inner_length", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload_digest", pa.string()), ("declared_bytes", pa.int64()), ("payload", pa.binary())])
     for batch in batches:
         for file, content in zip(batch.column(0), batch.column(1), strict=True):
             rows, held = [], 0
             for x in salvage(content.as_py()):
-                row = {"file": file.as_py(), "offset": x["offset"], "length": x["length"], "gap": x.get("gap")}
+                row = {"file": file.as_py(), "offset": x["offset"], "length": x["length"], "inner_offset": x.get("inner_offset"), "inner_length": x.get("inner_length"), "gap": x.get("gap")}
                 if fields := x.get("fields"):
                     head, _, payload = x["block"].partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", x["block"])
                     said = re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)
@@ -165,8 +270,8 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records and gaps of all archives under `path`, plain or gzip, columns as in READ. One file is one Python value, and so is
-    what a gzip member inflates to."""
+    """Records and gaps of all archives under `path`, plain or gzip, columns as in READ. One file is one Python value; a gzip
+    member is inflated record by record."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(_read_batches, READ)
 
 
