@@ -3,13 +3,13 @@
 A template is any function from a list of (role, text) to one string. Successive prefixes of the turns are rendered and
 consecutive outputs compared: what was added is the new turn's span. Where an output does not begin with the one
 before, the template rewrites history; then spans are located in the final output alone. Where a turn's text lies
-within is found by rendering it once more with a probe in its place.
+within is found by rendering it once more with a probe in its place, and so is where its role is printed.
 
 Defined results: a null text or role is empty; turns sort by turn, then role and text, nulls first; repeated rows are
 turns of their own; a null conv_id is a conversation; an empty table has none. What a template does with a turn may depend
 on all others, so a conversation is rendered as a whole, prefix by prefix, in one task: its work grows with the square of
 its length, its memory with the length. A turn whose text the template alters or drops has no text span and is no loss; a
-conversation with such a turn has null digests when read back. Only conv_id, turn, role and text are read.
+conversation with such a turn, or with a role that neither its print nor its markup tells, has null digests when read back. Only conv_id, turn, role and text are read.
 """
 
 from __future__ import annotations
@@ -72,13 +72,21 @@ def _shared(a: str, b: str) -> int:
     return low
 
 
-def _within(render: Callable[[Turns], str], turns: Turns, at: int, out: str) -> tuple[int, int] | None:
-    """Where turn `at`'s text stands in `out`, the rendering of `turns`; None if the template alters or drops it."""
+ROLE, TEXT = 0, 1
+
+
+def _probe(out: str) -> str:
     probe = "\ue000"
     while probe in out:
         probe += "\ue001"
-    text = turns[at][1]
-    seen = render([*turns[:at], (turns[at][0], probe), *turns[at + 1 :]])
+    return probe
+
+
+def _within(render: Callable[[Turns], str], turns: Turns, at: int, out: str, part: int = TEXT) -> tuple[int, int] | None:
+    """Where turn `at`'s text (or role) stands in `out`, the rendering of `turns`; None if the template alters, drops or repeats it."""
+    probe, (role, text) = _probe(out), turns[at]
+    seen = render([*turns[:at], (role, probe) if part == TEXT else (probe, text), *turns[at + 1 :]])
+    text = turns[at][part]
     start = seen.find(probe)
     if start < 0 or seen[:start] + text + seen[start + len(probe) :] != out:
         return None
@@ -101,8 +109,40 @@ def locate(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tupl
     return out, spans, rewrites
 
 
-FORMATTED = "conv_id long, formatted string, rewrites_at int, spans array<struct<role:string,start:long,stop:long,text_start:long,text_stop:long,loss:boolean>>"
-_SPANS = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("text_start", pa.int64()), ("text_stop", pa.int64()), ("loss", pa.bool_())]))
+def role_spans(render: Callable[[Turns], str], turns: Turns, out: str, spans: list[tuple[int, int, tuple[int, int] | None]], rewrites: int | None) -> list[tuple[int, int] | None]:
+    """Where each turn's role is printed in `out`; None where the template shows it by markup alone."""
+    found = []
+    for k, (start, stop, inner) in enumerate(spans):
+        role = turns[k][ROLE]
+        if rewrites is not None:
+            found.append(_within(render, turns, k, out, ROLE))
+        elif inner and (role in out[start : inner[0]] or role in out[inner[1] : stop]):
+            found.append(_within(render, turns[: k + 1], k, out[:stop], ROLE))
+        else:
+            found.append(None)
+    return found
+
+
+#: Roles that a template may show by markup alone.
+ROLES = ("user", "assistant", "system")
+
+
+def legend(render: Callable[[Turns], str]) -> dict[tuple[str, str], str | None]:
+    """What a template puts before and after a text, for a first turn and for one after another, to its role; None where two
+    roles look the same. Found by rendering turns of the ROLES."""
+    shown: dict[tuple[str, str], str | None] = {}
+    for turns in [[(r, "x")] for r in ROLES] + [[(a, "x"), (b, "x")] for a in ROLES for b in ROLES]:
+        out, spans, rewrites = locate(render, turns)
+        start, stop, inner = spans[-1]
+        if rewrites is None and inner:
+            around = out[start : inner[0]], out[inner[1] : stop]
+            role = turns[-1][ROLE]
+            shown[around] = role if shown.get(around, role) == role else None
+    return shown
+
+
+FORMATTED = "conv_id long, formatted string, rewrites_at int, spans array<struct<role:string,start:long,stop:long,role_start:long,role_stop:long,text_start:long,text_stop:long,loss:boolean>>"
+_SPANS = pa.list_(pa.struct([("role", pa.string()), *[(f, pa.int64()) for f in ("start", "stop", "role_start", "role_stop", "text_start", "text_stop")], ("loss", pa.bool_())]))
 _SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("rewrites_at", pa.int32()), ("spans", _SPANS)])
 
 
@@ -118,7 +158,10 @@ def format_conversations(conversations: DataFrame, template: Callable[[Turns], s
         for conv, turns in groupby(_rows(batches), key=lambda r: r[0]):
             turns = [(escape(role or ""), escape(text or "")) for *_, role, text in turns]
             out, spans, rewrites = locate(template, turns)
-            rows = [{"role": role, "start": s, "stop": e, "text_start": w[0] if w else None, "text_stop": w[1] if w else None, "loss": role == "assistant" and w is not None} for (role, _), (s, e, w) in zip(turns, spans, strict=True)]
+            rows = []
+            for (role, _), (s, e, w), at in zip(turns, spans, role_spans(template, turns, out, spans, rewrites), strict=True):
+                (r0, r1), (t0, t1) = at or (None, None), w or (None, None)
+                rows.append({"role": role, "start": s, "stop": e, "role_start": r0, "role_stop": r1, "text_start": t0, "text_stop": t1, "loss": role == "assistant" and w is not None})
             yield pa.RecordBatch.from_pylist([{"conv_id": conv, "formatted": out, "rewrites_at": rewrites, "spans": rows}], schema=_SCHEMA)
 
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
@@ -128,18 +171,29 @@ def format_conversations(conversations: DataFrame, template: Callable[[Turns], s
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, read from its formatted text and spans."""
+def read_back(formatted: DataFrame, template: Callable[[Turns], str] = inst) -> DataFrame:
+    """Digests of each conversation, read from its formatted text by the places of the spans: a role where it is printed, else
+    by the markup around its text, as `template` marks the ROLES. Turns are the spans that take up any of the text."""
+    marks = legend(template)
 
     def of(conv: int | None, out: str, spans: list[dict]) -> list:
-        texts = [None if x["text_start"] is None else unescape(out[x["text_start"] : x["text_stop"]]) for x in spans]
-        if None in texts:
-            return [conv, len(spans), None, None, None, len(out)]
-        turns, loss = hashlib.sha256(), hashlib.sha256()
-        for span, text in zip(spans, texts, strict=True):
-            turns.update(f"{unescape(span['role'])}\n{text}\n".encode())
-            loss.update(text.encode() if span["loss"] else b"")
-        return [conv, len(spans), turns.hexdigest(), sum(len(t) for x, t in zip(spans, texts, strict=True) if x["loss"]), loss.hexdigest(), len(out)]
+        spans = [x for x in spans if x["stop"] > x["start"]]
+        turns, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
+        for x in spans:
+            if x["text_start"] is None:
+                return [conv, len(spans), None, None, None, len(out)]
+            if x["role_start"] is None:
+                role = marks.get((out[x["start"] : x["text_start"]], out[x["text_stop"] : x["stop"]]))
+            else:
+                role = unescape(out[x["role_start"] : x["role_stop"]])
+            if role is None:
+                return [conv, len(spans), None, None, None, len(out)]
+            text = unescape(out[x["text_start"] : x["text_stop"]])
+            turns.update(f"{role}\n{text}\n".encode())
+            if x["loss"]:
+                loss.update(text.encode())
+                chars += len(text)
+        return [conv, len(spans), turns.hexdigest(), chars, loss.hexdigest(), len(out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DIGESTS.split(", ")]

@@ -188,6 +188,26 @@ def test_chat_digests(spark):
     assert set(got) == {1, 2, 3, 4, None, -1} and {r[0] for r in chat.digests(df.where("false")).collect()} == {-1}
 
 
+@pytest.mark.parametrize("template", [chat.inst, chat.chatml])
+def test_roles_are_read_from_the_output(spark, template):
+    """A span's own role field isn't what is read back: the printed role is, or the markup."""
+    turns = [("system", "s"), ("user", "user"), ("assistant", "a\\nuser"), ("tool [INST", "t"), ("", "no role"), ("user", ""), ("assistant", "")]
+    df = spark.createDataFrame([(1, t, r, x) for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    wrong = F.transform("spans", lambda x: x.withField("role", F.lit("liar")))
+    back = chat.read_back(chat.format_conversations(df, template).withColumn("spans", wrong), template).first()
+    assert back["n_turns"] == 7 and back["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+    swapped = F.regexp_replace("formatted", r"\[INST\] user \[/INST\]", "[INST]  ser [/INST]") if template is chat.inst else F.replace("formatted", F.lit("|>user\nuser"), F.lit("|>USER\nuser"))
+    other = chat.read_back(chat.format_conversations(df, template).withColumn("formatted", swapped), template).first()
+    assert other["turns_sha256"] != back["turns_sha256"] and other["n_turns"] == 7
+
+
+def test_roles_without_a_sign():
+    """A template that shows two roles alike has no legend for them; one that marks only the first turn has both shapes."""
+    assert set(chat.legend(lambda turns: "".join(f"- {t}\n" for _, t in turns)).values()) == {None}
+    first = chat.legend(lambda turns: "".join(("<s>" if i == 0 else "") + f"{r[0].upper()}: {t}\n" for i, (r, t) in enumerate(turns)))
+    assert first[("<s>U: ", "\n")] == first[("U: ", "\n")] == "user" and first[("A: ", "\n")] == "assistant" and len(first) == 6
+
+
 def test_chat_long_conversations(spark):
     """Over 64 turns, formatted as the template does with the whole conversation, and read back where nothing is altered."""
     turns = [("assistant" if t % 2 else "user", f"think {t}\n\nsay {t}" if t % 2 else f"ask {t}") for t in range(130)]
