@@ -3,7 +3,8 @@
 Defined results: `und` with score 0 where a text is null or has no letter, or where nothing could be learned; a text
 with letters of which no word and no n-gram is known gets the language with most training text, with score
 1/languages; ties go to the alphabetically first. Repeated rows and null doc_ids each give a row; a null doc_id is
-hashed as empty text. Only doc_id, text and, for learning, lang are read.
+hashed as empty text; a lang whose texts have no letter is not learned; texts of any length are read whole; an empty table gives
+an empty one. Only doc_id, text and, for learning, lang are read.
 """
 
 from __future__ import annotations
@@ -21,10 +22,8 @@ from lexigrove.llm.scratch import Scratch
 
 #: Learning takes about this many documents of each language at most (all, where there are fewer), by hash of doc_id.
 SAMPLE = 2000
-#: Words and n-grams seen less often are not kept; what the sample's texts hold bounds the tables.
-OFTEN = 2
-#: An expression costs in a language that has never shown it as if it were seen so often in the largest table of its length: more
-#: than the rarest one kept anywhere.
+#: All words and n-grams of the sample are kept, those seen once, too. An expression costs in a language that has never shown it as
+#: if it were seen so often in the largest table of its length: more than the rarest one anywhere.
 UNSEEN = 0.5
 LONGEST = 5
 #: A worker remembers the scores of so many words, and at most so many numbers.
@@ -58,7 +57,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
     table = scratch.keep(table, "table")
     # A row per language and length: written, so its size is known, and broadcast, so no language's rows meet in one task.
     total = scratch.keep(table.groupBy("lang", "size").agg(F.sum("n").alias("total")), "totals")
-    kept = table.where(F.col("n") >= OFTEN).join(F.broadcast(total), ["lang", "size"])
+    kept = table.join(F.broadcast(total), ["lang", "size"])
     found = kept.select("lang", "size", "gram", (-F.log10(F.col("n") / F.col("total"))).alias("score")).toPandas()
     most = total.where("size = 0").toPandas().sort_values(["total", "lang"], ascending=[False, True])
     langs = sorted(most["lang"])
