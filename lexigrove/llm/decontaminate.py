@@ -11,12 +11,13 @@ verified on the shingles themselves, over the whole document.
 Defined results: null texts and those of under five words hold no shingle, so they neither match nor contain; equal
 (item_id, text) rows are one item; repeated documents each give their rows; an empty benchmark or table gives no row; ties at
 `least` exactly match; texts of any length are read whole. Only doc_id and text, item_id and text are
-read. Items are broadcast in blocks of at most BLOCK rows and BLOCK_CHARS characters; each block is one pass without a
-shuffle, so a larger benchmark means more passes, never a larger broadcast.
+read. Items are written and broadcast in blocks of at most BLOCK rows and BLOCK_CHARS characters, one held at a time; each
+block is one pass without a shuffle, so a larger benchmark means more passes, never a larger broadcast.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import defaultdict
@@ -164,8 +165,7 @@ def _prepared(name: str, shared: Broadcast) -> Items:
     return _PREPARED[name]
 
 
-def _search(docs: DataFrame, rows: list[tuple[int, str]], least: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+def _search(docs: DataFrame, shared: Broadcast, least: float) -> DataFrame:
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,17 +187,35 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], least: float) -> DataF
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, PAIRS)
 
 
+def _blocks(benchmark: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Items (item_id, text, block), written, and how many blocks they are dealt to by hash: as many as keep each block within BLOCK
+    rows and BLOCK_CHARS characters, or at one item. Only the largest block's size comes to the driver."""
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    rows, parts = scratch.keep(rows, "items"), 1
+    while True:
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("block")
+        sizes = rows.groupBy(block).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).where("n > 1")
+        n, chars = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("chars"), F.lit(0))).first()
+        over = max(n / BLOCK, chars / BLOCK_CHARS)
+        if over <= 1:
+            return rows.select("item_id", "text", block), parts
+        parts = max(parts + 1, math.ceil(1.2 * over * parts))
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """Columns as in PAIRS: every (document, item) where the document holds at least `least` of the item's shingles."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    chars = 0
-    for row in benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().toLocalIterator():
-        if len(blocks[-1]) >= BLOCK or (blocks[-1] and chars + len(row[1]) > BLOCK_CHARS):
-            blocks.append([])
-            chars = 0
-        blocks[-1].append((row[0], row[1]))
-        chars += len(row[1])
-    return reduce(DataFrame.union, [_search(docs, b, least) for b in blocks])
+    scratch = Scratch(docs.sparkSession, "contained")
+    items, parts = _blocks(benchmark, scratch)
+    passes = []
+    for k in range(parts):
+        rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == k).select("item_id", "text").collect()]  # one block
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
+        found = _search(docs, shared, least)
+        if parts > 1:  # a pass ends before the next block is held
+            found = scratch.keep(found, f"pass{k}")
+            shared.destroy()
+        passes.append(found)
+    return reduce(DataFrame.union, passes)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:

@@ -224,3 +224,36 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     words = [f"{a} b{a} c{a} d{a} e{a} f{a}" for a in range(5)]
     got = decontaminate.contained(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), spark.createDataFrame(list(enumerate(words)), "item_id long, text string"))
     assert sorted(r["item_id"] for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_blocks_hold_the_bounds(spark, monkeypatch):
+    """Each block is within both bounds or one item; every item is in one block; a long one stands alone."""
+    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 400)
+    rows = [(i, f"item {i} " * (1 + i % 9)) for i in range(100)] + [(200, "z" * 5000), (201, None), (3, "item 3 " * 4)]
+    items, parts = decontaminate._blocks(spark.createDataFrame(rows, "item_id long, text string"), Scratch(spark, "t"))
+    blocks = {}
+    for r in items.collect():
+        blocks.setdefault(r["block"], []).append(r)
+    assert sorted(r["item_id"] for b in blocks.values() for r in b) == [*range(100), 200] and max(blocks) < parts
+    assert all(len(b) == 1 or len(b) <= 7 and sum(len(r["text"]) for r in b) <= 400 for b in blocks.values())
+    words = [f"{a} b{a} c{a} d{a} e{a} f{a} g{a} h{a} i{a} j{a} k{a} l{a} m{a} n{a}" for a in range(30)]
+    docs = spark.createDataFrame([(d, " ".join(words[d : d + 3])) for d in range(28)], "doc_id long, text string")
+    got = decontaminate.contained(docs, spark.createDataFrame(list(enumerate(words)), "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(d, d + k) for d in range(28) for k in range(3)]
+
+
+@pytest.mark.parametrize("shingles", [1, 8, 9, 16, 17, 40, 64, 65, 300])
+def test_recall_by_size_of_item(spark, shingles):
+    """Items of all sizes inside long documents, with as many shingles altered as still count, are all found."""
+    rng = random.Random(shingles)
+    fresh = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(40):
+        ws = fresh(shingles + 4)
+        items.append((i, " ".join(ws)))
+        gone = shingles // 5 if i % 2 else 0  # cut off at an end: as many shingles less
+        part = ws[gone:] if i % 4 == 1 else ws[: len(ws) - gone]
+        docs.append((i, " ".join(fresh(rng.randrange(3000)) + part + fresh(rng.randrange(3000)))))
+    got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(40)]
