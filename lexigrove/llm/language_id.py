@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,21 +61,27 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
     # A row per language and length: written, so its size is known, and broadcast, so no language's rows meet in one task.
     total = scratch.keep(table.groupBy("lang", "size").agg(F.sum("n").alias("total")), "totals")
     kept = table.join(F.broadcast(total), ["lang", "size"])
-    found = kept.select("lang", "size", "gram", (-F.log10(F.col("n") / F.col("total"))).alias("score")).toPandas()
     most = total.where("size = 0").toPandas().sort_values(["total", "lang"], ascending=[False, True])
-    langs = sorted(most["lang"])
-    tables: list[dict[str, tuple]] = [{} for _ in range(LONGEST + 1)]
-    at = {name: i for i, name in enumerate(langs)}
-    largest = total.groupBy("size").agg(F.max("total").alias("total")).collect()  # a row for each length
-    unseen = {r["size"]: math.log10(r["total"] / UNSEEN) for r in largest}
-    for lang, n, gram, score in found.itertuples(index=False):
-        tables[n].setdefault(gram, [unseen[n]] * len(langs))[at[lang]] = score
-    return {"langs": langs, "common": at[most["lang"].iloc[0]] if langs else None, "tables": tables}
+    if not (langs := sorted(most["lang"])):
+        return {"langs": [], "common": None, "tables": []}
+    largest = {r["size"]: r["total"] for r in total.groupBy("size").agg(F.max("total").alias("total")).collect()}  # a row for each length
+    worst = F.element_at(F.array(*[F.lit(math.log10(largest.get(n, 1) / UNSEEN)) for n in range(LONGEST + 1)]), F.col("size") + 1)
+    # A row per expression with its scores by language, which reach the driver as columns and stay so.
+    by = kept.groupBy("size", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", -F.log10(F.col("n") / F.col("total"))))).alias("by"))
+    scores = F.transform(F.array(*[F.lit(x) for x in langs]), lambda x: F.coalesce(F.try_element_at("by", x), worst))
+    found = by.select("size", "gram", scores.alias("scores")).toArrow()
+    tables = []
+    for n in range(LONGEST + 1):
+        own = found.filter(pc.equal(found["size"], n)).combine_chunks()
+        flat = pc.list_flatten(own["scores"]).to_numpy()
+        tables.append((own["gram"].combine_chunks(), flat.reshape(-1, len(langs))))
+    return {"langs": langs, "common": langs.index(most["lang"].iloc[0]), "tables": tables}
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.langs, self.common, self.tables = model["langs"], model["common"], model["tables"]
+        self.langs, self.common = model["langs"], model["common"]
+        self.tables = [({gram: i for i, gram in enumerate(grams.to_pylist())}, scores) for grams, scores in model["tables"]]
         self.forget()
 
     def forget(self) -> None:
@@ -80,22 +89,23 @@ class Scorer:
         self.most = max(2, min(REMEMBERED, NUMBERS // (len(self.langs) + 1)))
         self.rows = np.zeros((self.most, len(self.langs) + 1))
 
-    def word(self, word: str) -> list[float] | None:
+    def word(self, word: str) -> np.ndarray | None:
         """Scores by language: of the word if any language has it, else the mean over its known n-grams of the longest length with any."""
-        if (known := self.tables[0].get(word)) is not None:
-            return known
+        at, scores = self.tables[0]
+        if (known := at.get(word)) is not None:
+            return scores[known]
         padded = f" {word} "
         for n in range(LONGEST, 0, -1):
-            get = self.tables[n].get
-            if found := [s for i in range(len(padded) - n + 1) if (s := get(padded[i : i + n])) is not None]:
-                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+            at, scores = self.tables[n]
+            if found := [j for i in range(len(padded) - n + 1) if (j := at.get(padded[i : i + n])) is not None]:
+                return scores[found].mean(axis=0)
         return None
 
     def _miss(self, word: str) -> int:
         i = self.row[word] = len(self.row)
         letters = word if word.isalpha() else "".join(filter(str.isalpha, word))
         scores = self.word(letters) if letters else None
-        self.rows[i] = [*scores, 1] if scores else 0  # the last column counts scored words
+        self.rows[i] = 0 if scores is None else [*scores, 1]  # the last column counts scored words
         return i
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -116,12 +126,24 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(-(mean - mean[best]) * math.log(10)).sum())
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, shared: Broadcast) -> Scorer:
+    """A model's scorer, made once a worker; one model is held at a time."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(shared.value)
+    return _SCORERS[name]
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Columns (doc_id, lang_pred, score) for every row of docs. No shuffle; the model is a bounded broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(name, shared)
         for batch in batches:
             found = [scorer.predict(x.as_py()) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])

@@ -315,10 +315,10 @@ def test_toxicity_without_labels(spark):
 def test_an_unseen_expression_costs_more_than_a_rare_one(spark):
     docs = [(i, f"common words here rare{'abcdefgh'[i % 8] * (i % 40 + 1)} " * 2, "en") for i in range(300)] + [(1000 + i, "andere worte", "de") for i in range(3)]
     model = language_id.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
-    for table in model["tables"]:
-        scores = [x for row in table.values() for x in row]
-        unseen = max(scores)
-        assert scores and sum(x == unseen for x in scores) >= 1 and all(min(row) < unseen for row in table.values())
+    assert len(model["tables"]) == 6
+    for grams, scores in model["tables"]:
+        unseen = scores.max()
+        assert len(grams) == len(scores) > 0 and (scores == unseen).any() and (scores.min(axis=1) < unseen).all()
 
 
 def test_language_id(spark):
