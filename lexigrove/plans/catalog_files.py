@@ -150,7 +150,8 @@ def boolean_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the one dump file and their places."""
     path = workspace.fresh(spark, "index") + ".txt"
-    sinks.save_index(catalog.indexed(spark, sf_dir).postings, path, one_file=True)
+    at = catalog.indexed(spark, sf_dir)
+    sinks.save_index(at.postings, path, one_file=True, lists=at.lists, term_stats=at.term_stats)
     return places.numbered(text_files.lines(spark, path), "seq").select("place", _digest("line"))
 
 

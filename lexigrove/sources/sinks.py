@@ -45,18 +45,20 @@ def save_lines(lines: DataFrame, path: str, one_file: bool = False) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def index_lines(postings: DataFrame) -> DataFrame:
-    """(term, number, id, line): for each term `term:df` and below it a tab-led `doc: p1,p2` per document."""
-    each = postings.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+def index_lines(postings: DataFrame, lists: DataFrame | None = None, term_stats: DataFrame | None = None) -> DataFrame:
+    """(term, number, id, line): for each term `term:df` and below it a tab-led `doc: p1,p2` per document. An index that knows them
+    gives `lists` (term, doc_id, p) and `term_stats` (term, df)."""
+    each = postings.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("p")) if lists is None else lists
     line = F.concat(F.lit("\t"), F.col("doc_id").cast("string"), F.lit(": "), F.array_join(F.transform("p", lambda x: x.cast("string")), ","))
     docs = each.select("term", F.struct(F.expr("coalesce(try_cast(doc_id AS BIGINT), 9223372036854775807)").alias("number"), F.col("doc_id").cast("string").alias("id"), line.alias("line")).alias("x"))
-    terms = each.groupBy("term").agg(F.count("*").alias("df")).select("term", F.struct(F.lit(-1 << 63).cast("long").alias("number"), F.lit("").alias("id"), F.concat("term", F.lit(":"), F.col("df").cast("string")).alias("line")).alias("x"))
+    counts = each.groupBy("term").agg(F.count("*").alias("df")) if term_stats is None else term_stats
+    terms = counts.select("term", F.struct(F.lit(-1 << 63).cast("long").alias("number"), F.lit("").alias("id"), F.concat("term", F.lit(":"), F.col("df").cast("string")).alias("line")).alias("x"))
     return docs.union(terms).select("term", "x.number", "x.id", "x.line")
 
 
-def save_index(postings: DataFrame, path: str, one_file: bool = False) -> None:
+def save_index(postings: DataFrame, path: str, one_file: bool = False, lists: DataFrame | None = None, term_stats: DataFrame | None = None) -> None:
     """The dump in order, as text files or one; terms sort by code point, documents by number."""
-    save_lines(index_lines(postings).orderBy("term", "number", "id").select("line"), path, one_file)
+    save_lines(index_lines(postings, lists, term_stats).orderBy("term", "number", "id").select("line"), path, one_file)
 
 
 def save_postings(postings: DataFrame, path: str) -> None:
