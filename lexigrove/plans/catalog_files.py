@@ -97,7 +97,7 @@ def articles_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with a root, read by Spark's XML reader."""
     path = workspace.fresh(spark, "articles")
     rows = _table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("ID"), F.col("lang").alias("HEADLINE"), _whole("text").alias("TEXT"))
-    rows.repartition(4, "ID").write.format("xml").option("rootTag", "Corpus").option("rowTag", "Article").save(path)
+    rows.repartition("ID").write.format("xml").option("rootTag", "Corpus").option("rowTag", "Article").save(path)
     return _digests(articles.read_articles(spark, path, strict=False))
 
 
