@@ -2,8 +2,10 @@
 
 import re
 
+import numpy as np
+
 from lexigrove.functions.analysis import ARABIC, LATIN
-from lexigrove.operators import index, packed
+from lexigrove.operators import boolean, index, packed
 from lexigrove.sources.sinks import index_lines
 from test_packed import documents, same, stored
 
@@ -43,3 +45,33 @@ def test_lists_and_lengths_of_repeated_ids(spark, tmp_path):
     plain, at = stored(spark, tmp_path, rows)
     same(index_lines(plain.postings), index_lines(at.postings, at.lists, at.term_stats))
     assert {r["doc_id"]: r["dl"] for r in at.doc_stats.collect()}[3] == sum(len(t.split()) for i, t, _ in rows if i == 3 and t)
+
+
+def test_parts_are_written_when_asked_for(spark, tmp_path):
+    plain, at = stored(spark, tmp_path, documents())
+    parts = lambda: {x.name for x in (tmp_path / "at").iterdir()}
+    assert not parts() & {"pairs", "norms"}
+    same(plain.doc_stats, at.doc_stats)
+    boolean.search(at, '"w0 w1"').collect()
+    assert parts() & {"pairs", "norms"} == {"pairs"}
+    norms = {r["doc_id"]: round(r["norm"], 9) for r in plain.norms.collect()}
+    assert norms == {r["doc_id"]: round(r["norm"], 9) for r in at.norms.collect()} and parts() >= {"pairs", "norms"}
+    again = packed.load(spark, str(tmp_path / "at"), LATIN)
+    written = (tmp_path / "at" / "norms" / "_SUCCESS").stat().st_mtime_ns
+    assert again.complete().norms.count() == len(norms) and (tmp_path / "at" / "norms" / "_SUCCESS").stat().st_mtime_ns == written
+
+
+def test_lengths_come_from_the_packing_task(spark, tmp_path):
+    rows = [(1, "مكتوب كتب كاتب كتب", 1), (2, "والكتاب مدرسة", 2), (3, None, 3), (None, "كتب", 4)]
+    plain, at = stored(spark, tmp_path, rows, ARABIC.with_lexicons(protected=["كاتب"]))
+    same(plain.doc_stats.where("doc_id is not null"), at.doc_stats.where("doc_id is not null"))
+    assert at.doc_stats.where("doc_id is null").first()["dl"] == 1 and at.blocks.where("term is null").isEmpty()
+
+
+def test_order_of_numbers_too_large_for_one():
+    draw = np.random.default_rng(4)
+    for high in (50, 1 << 40):
+        columns = [draw.integers(0, n, 2000) for n in (9, high, high)]
+        order = np.lexsort(columns[::-1])
+        assert all((a == c[order]).all() for a, c in zip(packed._in_order(*columns), columns, strict=True))
+    assert [len(c) for c in packed._in_order(*[np.zeros(0, np.int64)] * 3)] == [0, 0, 0]
