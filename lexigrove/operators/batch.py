@@ -111,9 +111,13 @@ def search_batch(index: Index, queries: DataFrame) -> DataFrame:
     uses = distinct.select("leaf", F.inline("uses"))
     has = hits.join(near(uses), "leaf").groupBy("qid", "doc_id").agg(F.collect_set("i").alias("has"))
     judged = has.join(near(programs), "qid").select("qid", "doc_id", "base", holds(F.col("program"), F.col("has")).alias("holds"))
-    found = judged.where(F.col("holds") & ~F.col("base")).select("qid", "doc_id")
+    # Where a program differs from what it gives without leaves.
+    judged = judged.where(F.col("holds") != F.col("base")).select("qid", "doc_id", "base")
     whole = parsed.where("base").select("qid")
     if whole.isEmpty():
-        return found
+        return judged.select("qid", "doc_id")
+    judged_at = workspace.fresh(spark, "judged")  # written, as it is read twice
+    judged.write.parquet(judged_at)
+    judged = spark.read.parquet(judged_at)
     everywhere = index.documents.select("doc_id", F.explode(whole.agg(F.collect_list("qid").alias("qids")).scalar()).alias("qid")).select("qid", "doc_id")
-    return found.union(everywhere.join(judged.where(F.col("base") & ~F.col("holds")).select("qid", "doc_id"), ["qid", "doc_id"], "left_anti"))
+    return judged.where(~F.col("base")).select("qid", "doc_id").union(everywhere.join(judged.where("base").select("qid", "doc_id"), ["qid", "doc_id"], "left_anti"))

@@ -57,3 +57,10 @@ def test_programs(spark):
     rows = [([0, 1, -1], [0, 1], True), ([0, 1, -1], [0], False), ([0, 1, 2, -1, -2], [1, 2], True), ([0, 1, 2, -1, -2], [1], False), ([0, -3, -3], [0], True), ([0, 1, -3, -1], [0], True), ([*range(40), *[-2] * 39], [17], True)]
     frame = spark.createDataFrame(rows, "program array<int>, has array<int>, wanted boolean")
     assert frame.where(holds(F.col("program"), F.col("has")) != F.col("wanted")).count() == 0
+
+
+def test_postings_are_judged_once(spark):
+    at = build_index(spark.createDataFrame([(1, "a b", 1), (2, "b c", 2), (3, "", 3)], "id long, full_text string, doc_seq long"), LATIN)
+    found = search_batch(at, spark.createDataFrame([("x", "a"), ("y", "NOT b"), ("z", "NOT c AND b")], "qid string, text string"))
+    assert sorted(map(tuple, found.collect())) == [("x", 1), ("y", 3), ("z", 1)]
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()
