@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose ids a worker remembers; when full it starts anew, which changes speed only.
+#: Pieces whose ids a task remembers; when full it starts anew, which changes speed only.
 REMEMBERED = 400_000
 #: Texts longer than this are matched piecewise, LONG matches at a time.
 LONG = 1 << 20
@@ -116,11 +117,16 @@ class Codec:
 _CODECS: dict[tuple[bytes, str], Codec] = {}
 
 
-def _codec(vocabulary: bytes, pattern: str) -> Codec:
+@contextmanager
+def _codec(vocabulary: bytes, pattern: str) -> Iterator[Codec]:
+    """A worker's codec, for one task; the pieces that the task remembered go with it, as the worker may do other work next."""
     key = (hashlib.sha256(vocabulary).digest(), pattern)
     if key not in _CODECS:
         _CODECS[key] = Codec(vocabulary, pattern)
-    return _CODECS[key]
+    try:
+        yield _CODECS[key]
+    finally:
+        _CODECS[key].known.clear()
 
 
 def _load(df: DataFrame, path: str):
@@ -134,11 +140,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     shared = _load(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [np.fromstring(",".join(codec.encode(t)), np.int32, sep=",") for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        with _codec(shared.value, pattern) as codec:
+            for batch in batches:
+                for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                    ids = [np.fromstring(",".join(codec.encode(t)), np.int32, sep=",") for t in part.column(1).to_pylist()]
+                    yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -148,10 +154,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     shared = _load(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for batch in batches:
-            out = [codec.decode(",".join(map(str, ids or ()))) for ids in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
+        with _codec(shared.value, pattern) as codec:
+            for batch in batches:
+                out = [codec.decode(",".join(map(str, ids or ()))) for ids in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded binary")
 
@@ -165,22 +171,22 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
     shared = _load(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-            n, ids_sha, text_sha, lists = [], [], [], []
-            for text in (x.as_py() for x in batch.column(1)):
-                count, ids_hash, text_hash, runs = 0, hashlib.sha256(), hashlib.sha256(), []
-                for ids in codec.encode(text):
-                    ids_hash.update((("," if count else "") + ids).encode())
-                    count += ids.count(",") + 1
-                    text_hash.update(codec.decode(ids))
-                    if with_ids:
-                        runs.append(np.fromstring(ids, np.int32, sep=","))
-                n.append(count)
-                ids_sha.append(ids_hash.hexdigest())
-                text_sha.append(text_hash.hexdigest())
-                lists.append(np.concatenate(runs) if runs else np.zeros(0, np.int32))
-            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-            yield pa.record_batch(columns | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if with_ids else {}))
+        with _codec(shared.value, pattern) as codec:
+            for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+                n, ids_sha, text_sha, lists = [], [], [], []
+                for text in (x.as_py() for x in batch.column(1)):
+                    count, ids_hash, text_hash, runs = 0, hashlib.sha256(), hashlib.sha256(), []
+                    for ids in codec.encode(text):
+                        ids_hash.update((("," if count else "") + ids).encode())
+                        count += ids.count(",") + 1
+                        text_hash.update(codec.decode(ids))
+                        if with_ids:
+                            runs.append(np.fromstring(ids, np.int32, sep=","))
+                    n.append(count)
+                    ids_sha.append(ids_hash.hexdigest())
+                    text_sha.append(text_hash.hexdigest())
+                    lists.append(np.concatenate(runs) if runs else np.zeros(0, np.int32))
+                columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+                yield pa.record_batch(columns | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if with_ids else {}))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
