@@ -152,7 +152,7 @@ def index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace.fresh(spark, "index") + ".txt"
     at = catalog.indexed(spark, sf_dir)
     sinks.save_index(at.postings, path, one_file=True, lists=at.lists, term_stats=at.term_stats)
-    return places.numbered(text_files.lines(spark, path), "seq").select("place", _digest("line"))
+    return text_files.numbered_lines(spark, path).select("place", _digest("line"))
 
 
 def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from lexigrove.sources.workspace import shuffles_deleted
 
 
 def join_parts(spark: SparkSession, folder: str, path: str) -> None:
     """One file at `path` of the part files of `folder`, in the order of their names. The store's file system moves the bytes: by
-    concat, where it can, else as one stream from part to part. Nothing is collected, and no task writes the whole."""
+    concat, where it can, else as one stream from part to part, each of which is deleted once it is copied. Nothing is collected, and
+    no task writes the whole."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     to, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     source = jvm.org.apache.hadoop.fs.Path(folder)
@@ -28,6 +32,7 @@ def join_parts(spark: SparkSession, folder: str, path: str) -> None:
             piece = store.open(part)
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, conf, False)
             piece.close()
+            store.delete(part, False)
         out.close()
     store.delete(to, True)
     store.rename(tmp, to)
@@ -35,11 +40,11 @@ def join_parts(spark: SparkSession, folder: str, path: str) -> None:
 
 def save_lines(lines: DataFrame, path: str, one_file: bool = False) -> None:
     """The one column of `lines`, in order: a folder of text files whose names are in order, or one file."""
+    spark, parts = lines.sparkSession, f"{path}.{uuid.uuid4().hex}.parts"
+    with shuffles_deleted(spark):
+        lines.write.mode("overwrite").text(parts if one_file else path)
     if not one_file:
-        lines.write.mode("overwrite").text(path)
         return
-    spark, parts = lines.sparkSession, f"{path}.{uuid.uuid4().hex}.parts"
-    lines.write.text(parts)
     join_parts(spark, parts, path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(parts)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -50,7 +55,9 @@ def index_lines(postings: DataFrame, lists: DataFrame | None = None, term_stats:
     gives `lists` (term, doc_id, p) and `term_stats` (term, df)."""
     each = postings.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("p")) if lists is None else lists
     line = F.concat(F.lit("\t"), F.col("doc_id").cast("string"), F.lit(": "), F.array_join(F.transform("p", lambda x: x.cast("string")), ","))
-    docs = each.select("term", F.struct(F.expr("coalesce(try_cast(doc_id AS BIGINT), 9223372036854775807)").alias("number"), F.col("doc_id").cast("string").alias("id"), line.alias("line")).alias("x"))
+    # An integer's text wouldn't order it further, but would be exchanged.
+    id_ = F.when(F.col("doc_id").isNotNull(), "-") if isinstance(each.schema["doc_id"].dataType, IntegralType) else F.col("doc_id").cast("string")
+    docs = each.select("term", F.struct(F.expr("coalesce(try_cast(doc_id AS BIGINT), 9223372036854775807)").alias("number"), id_.alias("id"), line.alias("line")).alias("x"))
     counts = each.groupBy("term").agg(F.count("*").alias("df")) if term_stats is None else term_stats
     terms = counts.select("term", F.struct(F.lit(-1 << 63).cast("long").alias("number"), F.lit("").alias("id"), F.concat("term", F.lit(":"), F.col("df").cast("string")).alias("line")).alias("x"))
     return docs.union(terms).select("term", "x.number", "x.id", "x.line")

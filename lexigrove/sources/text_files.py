@@ -20,6 +20,17 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), seq.alias("seq"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, place): lines with their places, from 0, in the order of seq. The ranges' lines are counted, and what the ranges before it
+    hold is added to a line's number in its own, so no line is exchanged. It raises if the file is cut otherwise when it is read again."""
+    rows = lines(spark, path).select("line", F.col("seq.file").alias("file"), F.col("seq.start").alias("start"), F.col("seq.at").alias("at"))
+    ranges = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    found = rows.join(F.broadcast(ranges.select("file", "start", "first", before.alias("before"))), ["file", "start"], "left")
+    same = F.shiftright("at", 33) == F.shiftright("first", 33)
+    return found.select("line", F.when(same, F.col("before") + F.col("at") - F.col("first")).otherwise(F.raise_error(F.lit("the file was cut into other ranges")).cast("long")).alias("place"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """lines(), stripped."""
     return lines(spark, path).select(F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line"), "seq")
